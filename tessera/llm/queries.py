@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.mix import mix_sources
+from tessera.llm.pack import fill_report, pack_containers
 from tessera.llm.runs import collapse_runs
 from tessera.llm.split import split_oversized
+from tessera.llm.tokens import VOCABULARY, count_tokens
 from tessera.operators.current import current_rows
 from tessera.sources.tables import read_table
 
@@ -38,9 +41,44 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p5_pieces(spark, sf).where("piece = 0").select("tbl", "record_key")
 
 
+# --- 6: filling containers
+
+
+def p6_pack(spark: SparkSession, sf: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Every document in a container of each capacity."""
+    sizes = count_tokens(read_table(spark, sf, "documents"), "text", {"doc_id": "bigint"}, vocabulary)
+    return pack_containers(sizes, read_table(spark, sf, "pack_capacities"))
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_report(p6_pack(spark, sf), read_table(spark, sf, "pack_capacities"))
+
+
+# --- 7: mixing sources
+
+
+def _mix(spark: SparkSession, sf: str, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+    sizes = count_tokens(read_table(spark, sf, "documents"), "text", {"doc_id": "bigint", "source": "string"}, vocabulary)
+    return mix_sources(sizes, read_table(spark, sf, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of the mix with their number of copies."""
+    return _mix(spark, sf)[0]
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source the target and the actual share."""
+    return _mix(spark, sf)[1]
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_runs": p2_runs,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
+    "p6_pack": p6_pack,
+    "p6_fill": p6_fill,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
 }

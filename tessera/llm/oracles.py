@@ -24,10 +24,18 @@ runs AS (
   FROM numbered GROUP BY package_id, run
 )"""
 
+_WINDOWS = """
+stretches AS (SELECT DISTINCT doc_id, hash(substr(text, i, 200)) AS h, i FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+shared AS (SELECT h FROM stretches GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+hits AS (SELECT s.* FROM stretches s JOIN shared USING (h))"""
+
 ORACLES = {
     "p2_found": f"WITH {_RUN_ROWS} SELECT package_id, a AS first_segment_id, z AS last_segment_id FROM runs WHERE n > 1",
     "p2_runs": f"WITH {_RUN_ROWS} SELECT package_id AS entity, a AS first_item, z AS last_item, tag, n AS n_items, s AS start_sec, e AS end_sec, round(e - s, 6) AS duration_sec FROM runs",
     "p5_found": f"""
         SELECT 'chunks' AS tbl, chunk_id AS record_key FROM {_current("chunks", "chunk_id")} WHERE length(text) > 1200
         UNION ALL SELECT 'tag_records', record_id FROM {_current("tag_records", "record_id")} WHERE length(text_excerpt) > 1200""",
+    "p8_found": f"WITH {_WINDOWS} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM hits a JOIN hits b ON a.h = b.h AND a.doc_id < b.doc_id",
+    "p8_shared": f"""WITH {_WINDOWS}, covered AS (SELECT doc_id, count(DISTINCT c) AS n FROM (SELECT doc_id, unnest(range(i, i + 200)) AS c FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(length(d.text), 0) AS n_chars, coalesce(c.n, 0) AS shared_chars FROM documents d LEFT JOIN covered c USING (doc_id)""",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.llm.mix import mix_sources
 from tessera.llm.pack import fill_report, pack_containers
 from tessera.llm.runs import collapse_runs
+from tessera.llm.spans import SharedSpans
 from tessera.llm.split import split_oversized
 from tessera.llm.tokens import VOCABULARY, count_tokens
 from tessera.operators.current import current_rows
@@ -72,6 +73,29 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
+# --- 8: verbatim spans
+
+
+def _spans(spark: SparkSession, sf: str) -> tuple[DataFrame, SharedSpans]:
+    docs = read_table(spark, sf, "documents")
+    return docs, SharedSpans(docs, "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _spans(spark, sf)[1].pairs()
+
+
+def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The stretches that pairs of documents share."""
+    return _spans(spark, sf)[1].spans
+
+
+def p8_shared(spark: SparkSession, sf: str) -> DataFrame:
+    """How many characters of each document stand elsewhere."""
+    docs, shared = _spans(spark, sf)
+    return shared.coverage(docs, "doc_id", "text")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_runs": p2_runs,
@@ -81,4 +105,7 @@ QUERIES = {
     "p6_fill": p6_fill,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_spans": p8_spans,
+    "p8_shared": p8_shared,
 }

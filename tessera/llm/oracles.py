@@ -29,7 +29,24 @@ stretches AS (SELECT DISTINCT doc_id, hash(substr(text, i, 200)) AS h, i FROM (S
 shared AS (SELECT h FROM stretches GROUP BY h HAVING count(DISTINCT doc_id) > 1),
 hits AS (SELECT s.* FROM stretches s JOIN shared USING (h))"""
 
+_ALIKE = f"""
+said AS (
+  SELECT tbl, key, w FROM (
+    SELECT tbl, key, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM (
+      SELECT 'chunks' AS tbl, chunk_id AS key, text FROM {_current("chunks", "chunk_id")}
+      UNION ALL SELECT 'journal_virchows', chunk_id, excerpt FROM {_current("journal_virchows", "chunk_id")})
+  ) WHERE len(w) >= 20
+),
+features AS (SELECT DISTINCT tbl, key, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS f FROM (SELECT tbl, key, w, unnest(range(1, len(w) - 1)) AS i FROM said)),
+sizes AS (SELECT tbl, key, count(*) AS n FROM features GROUP BY tbl, key),
+common AS (SELECT a.tbl, a.key AS key_a, b.key AS key_b, count(*) AS c FROM features a JOIN features b ON a.f = b.f AND a.tbl = b.tbl AND a.key < b.key GROUP BY ALL),
+alike AS (
+  SELECT c.tbl, key_a, key_b FROM common c JOIN sizes x ON x.tbl = c.tbl AND x.key = key_a JOIN sizes y ON y.tbl = c.tbl AND y.key = key_b
+  WHERE c >= 0.7 * (x.n + y.n - c) - 1e-9
+)"""
+
 ORACLES = {
+    "p1_found": f"WITH {_ALIKE} SELECT tbl, key_a, key_b FROM alike",
     "p2_found": f"WITH {_RUN_ROWS} SELECT package_id, a AS first_segment_id, z AS last_segment_id FROM runs WHERE n > 1",
     "p2_runs": f"WITH {_RUN_ROWS} SELECT package_id AS entity, a AS first_item, z AS last_item, tag, n AS n_items, s AS start_sec, e AS end_sec, round(e - s, 6) AS duration_sec FROM runs",
     "p5_found": f"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.mix import mix_sources
+from tessera.llm.neardup import NearDuplicates
 from tessera.llm.pack import fill_report, pack_containers
 from tessera.llm.runs import collapse_runs
 from tessera.llm.spans import SharedSpans
@@ -14,6 +15,26 @@ from tessera.llm.tokens import VOCABULARY, count_tokens
 from tessera.operators.current import current_rows
 from tessera.sources.tables import read_table
 
+# --- 1: near-duplicates
+
+
+def _alike(spark: SparkSession, sf: str) -> NearDuplicates:
+    parts = [
+        current_rows(read_table(spark, sf, t), "chunk_id", [c]).select(F.lit(t).alias("tbl"), F.col("chunk_id").alias("key"), F.col(c).alias("text"))
+        for t, c in (("chunks", "text"), ("journal_virchows", "excerpt"))
+    ]
+    return NearDuplicates(parts[0].unionByName(parts[1]))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _alike(spark, sf).pairs()
+
+
+def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The groups of records that are alike."""
+    return _alike(spark, sf).groups()
+
+
 # --- 2: runs of consecutive events
 
 
@@ -97,6 +118,8 @@ def p8_shared(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_runs": p2_runs,
     "p5_found": p5_found,

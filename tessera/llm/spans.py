@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.grams import codes_of, gram_hashes, marks_of
+from tessera.llm.meet import meet, with_sides
 from tessera.session import cut_lineage
 
 
@@ -84,54 +85,6 @@ def _marks(least: int):
     return run
 
 
-def _meet(most: int):
-    """From rows sorted by mark: pairs of the documents of a mark, or those of a mark with more than ``most`` one by one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a, b, m):
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.int64())], names=["doc_a", "doc_b", "mark"])
-
-        hot, mark, doc = None, np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def flush(mark: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
-            new = np.append(True, (mark[1:] != mark[:-1]) | (doc[1:] != doc[:-1]))
-            mark, doc = mark[new], doc[new]
-            first = np.flatnonzero(np.append(True, mark[1:] != mark[:-1]))
-            size = np.diff(np.append(first, len(mark)))
-            two = first[size == 2]
-            if len(two):
-                yield out(doc[two], doc[two + 1], mark[two])
-            for i, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                if n <= most:
-                    x, y = np.triu_indices(n, 1)
-                    yield out(doc[i + x], doc[i + y], np.full(len(x), mark[i]))
-                else:
-                    yield out(doc[i : i + n], [None] * n, mark[i : i + n])
-
-        for batch in batches:
-            mark = np.concatenate([mark, batch.column(0).to_numpy(zero_copy_only=False)])
-            doc = np.concatenate([doc, batch.column(1).to_numpy(zero_copy_only=False)])
-            if hot is not None:  # a mark known to be hot goes on
-                n = int(np.searchsorted(mark, hot, "right"))
-                if n:
-                    yield out(doc[:n], [None] * n, mark[:n])
-                mark, doc = mark[n:], doc[n:]
-            if not len(mark):
-                continue
-            tail = int(np.searchsorted(mark, mark[-1], "left"))
-            if tail:
-                yield from flush(mark[:tail], doc[:tail])
-            mark, doc, hot = mark[tail:], doc[tail:], None
-            if len(np.unique(doc)) > most:
-                hot = mark[0]
-                yield out(doc, [None] * len(doc), mark)
-                mark, doc = mark[:0], doc[:0]
-        if len(mark):
-            yield from flush(mark, doc)
-
-    return run
-
-
 def _around(least: int):
     """Hashes of all stretches of ``least`` characters that hold one of a document's hot marks."""
     k = least // 2
@@ -183,22 +136,19 @@ class SharedSpans:
         docs = docs.where(f"doc_id is not null and char_length(text) >= {least}")
         self.docs = docs
         marks = docs.mapInArrow(_marks(least), "mark bigint, doc_id bigint")
-        met = cut_lineage(marks.repartition("mark").sortWithinPartitions("mark", "doc_id").mapInArrow(_meet(most), "doc_a bigint, doc_b bigint, mark bigint"))
-        pairs = met.where("doc_b is not null").select("doc_a", "doc_b")
-        hot = met.where("doc_b is null")
+        met = cut_lineage(meet(marks, most))
+        pairs = met.where("b is not null").select("a", "b")
+        hot = met.where("b is null")
         self.members = None
         if not hot.isEmpty():
-            wanted = hot.groupBy(F.col("doc_a").alias("doc_id")).agg(F.collect_set("mark").alias("marks"))
+            wanted = hot.groupBy(F.col("a").alias("doc_id")).agg(F.collect_set("mark").alias("marks"))
             near = wanted.join(docs, "doc_id").select("doc_id", "marks", "text").mapInArrow(_around(least), "stretch bigint, doc_id bigint, start bigint")
             near = cut_lineage(near)
             classes = near.groupBy("stretch").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
             self.members = cut_lineage(near.join(classes.select("stretch", "first"), "stretch"))
-            pairs = pairs.unionByName(self.members.where("doc_id > first").select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b")))
+            pairs = pairs.unionByName(self.members.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
         pairs = pairs.distinct()
-        sides = pairs.select("doc_a", "doc_b", F.explode(F.array(F.col("doc_a"), F.col("doc_b"))).alias("doc_id"))
-        texts = sides.join(docs, "doc_id").groupBy("doc_a", "doc_b").agg(
-            F.max(F.when(F.col("doc_id") == F.col("doc_a"), F.col("text"))).alias("text_a"), F.max(F.when(F.col("doc_id") == F.col("doc_b"), F.col("text"))).alias("text_b")
-        )
+        texts = with_sides(pairs, docs.withColumnRenamed("doc_id", "id"), "text")
         self.spans = texts.mapInArrow(_parse(least), "doc_a bigint, doc_b bigint, start_a bigint, start_b bigint, length bigint")
 
     def pairs(self) -> DataFrame:

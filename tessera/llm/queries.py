@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.canon import match_values
 from tessera.llm.mix import mix_sources
 from tessera.llm.neardup import NearDuplicates
 from tessera.llm.pack import fill_report, pack_containers
@@ -48,6 +49,41 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return p2_runs(spark, sf).where("n_items > 1").select(F.col("entity").alias("package_id"), F.col("first_item").alias("first_segment_id"), F.col("last_item").alias("last_segment_id"))
 
 
+# --- 3: canonical lists
+
+
+def _mapped(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Per table tbl, record_id, value, name (of the entry it equals), canon_id and similarity of the current rows with a value."""
+    tags, entities = read_table(spark, sf, "canonical_tags"), read_table(spark, sf, "canonical_entities")
+    lists = {
+        "records": ("primary_tag", tags.select(F.col("tag_id").cast("int").alias("id"), F.col("primary_tag").alias("name"), F.lit(None).cast("string").alias("alias"), F.element_at(F.split("primary_tag", "::"), -1).alias("core"))),
+        "gi_crc_standalone": ("entity_name", entities.select(F.col("entity_id").cast("int").alias("id"), F.col("entity_name").alias("name"), F.col("abbreviation").alias("alias"), F.split("entity_name", " of ")[0].alias("core"))),
+    }
+    out = []
+    for table, (column, entries) in lists.items():
+        rows = current_rows(read_table(spark, sf, table), "record_id", [column]).select("record_id", F.col(column).alias("value"))
+        found = match_values(rows, entries).join(F.broadcast(entries.select("name").distinct()), F.col("value") == F.col("name"), "left")
+        out.append(rows.join(found, "value").select(F.lit(table).alias("tbl"), "record_id", "value", "name", "canon_id", "similarity"))
+    return out
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _mapped(spark, sf)
+    return a.unionByName(b).where("name is null").select("tbl", "record_id", "canon_id")
+
+
+def p3_mapped(spark: SparkSession, sf: str) -> DataFrame:
+    """Every current value with the entry that was meant."""
+    a, b = _mapped(spark, sf)
+    return a.unionByName(b).drop("name")
+
+
+def p3_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """Values that match no entry, with their number of records."""
+    a, b = _mapped(spark, sf)
+    return a.unionByName(b).where("canon_id = -1").groupBy("tbl", "value").agg(F.count("*").alias("n_records"))
+
+
 # --- 5: cutting oversized texts
 
 _LONG = (("chunks", "chunk_id", "text"), ("tag_records", "record_id", "text_excerpt"))
@@ -122,6 +158,9 @@ QUERIES = {
     "p1_groups": p1_groups,
     "p2_found": p2_found,
     "p2_runs": p2_runs,
+    "p3_found": p3_found,
+    "p3_mapped": p3_mapped,
+    "p3_unmatched": p3_unmatched,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,
     "p6_pack": p6_pack,

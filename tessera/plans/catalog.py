@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Modules of this package with QUERIES and ORACLES.
+MODULES = ("packed",)
+
+
+def _gather(what: str) -> dict:
+    out: dict = {}
+    for name in MODULES:
+        out |= getattr(importlib.import_module(f"tessera.plans.{name}"), what)
+    return out
+
 
 def flagship(spark: SparkSession, directory: str) -> DataFrame:
-    raise NotImplementedError
+    return queries()["p4_found"](spark, directory)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return _gather("QUERIES")
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return _gather("ORACLES")

@@ -121,6 +121,16 @@ def _sign(bands: int, rows: int):
     return run
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    signer = _Signer(1)
+    for batch in batches:
+        if batch.num_rows:
+            found = [signer.features(t).view(np.int64) for t in batch.column("words").to_pylist()]
+            sizes = np.array([len(f) for f in found], np.int32)
+            ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))], names=["id", "n", "features"])
+
+
 def _prune(limits: list[tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,11 +170,8 @@ def _verify(threshold: float):
 
 def _hot_pairs(classes: DataFrame, hot: DataFrame, threshold: float) -> DataFrame:
     """Pairs of hot classes that could reach the threshold: they share one of their rarest features."""
-    words = F.split("words", " ")
-    wide = classes.join(hot, "id", "left_semi").select(
-        "id", F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.slice(words, i, 3)))).alias("features")
-    )
-    each = wide.select("id", F.size("features").alias("n"), F.explode("features").alias("feature"))
+    wide = classes.select("id", "words").join(hot, "id", "left_semi").mapInArrow(_features, "id bigint, n int, features array<bigint>")
+    each = cut_lineage(wide.select("id", "n", F.explode("features").alias("feature")))
     common = each.groupBy("feature").agg(F.count("*").alias("df")).where("df > 1")
     ranked = each.join(common, "feature", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     ranked = ranked.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "feature"))).alias("f"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with QUERIES and ORACLES.
-MODULES = ("packed",)
+MODULES = ("packed", "text", "filters", "joins")
 
 
 def _gather(what: str) -> dict:

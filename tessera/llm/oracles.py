@@ -25,7 +25,7 @@ runs AS (
 )"""
 
 _WINDOWS = """
-stretches AS (SELECT DISTINCT doc_id, hash(substr(text, i, 200)) AS h, i FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+stretches AS (SELECT DISTINCT doc_id, md5(substr(text, i, 200)) AS h, i FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
 shared AS (SELECT h FROM stretches GROUP BY h HAVING count(DISTINCT doc_id) > 1),
 hits AS (SELECT s.* FROM stretches s JOIN shared USING (h))"""
 

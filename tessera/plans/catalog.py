@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with QUERIES and ORACLES.
-MODULES = ("packed", "text", "filters", "joins")
+MODULES = ("packed", "text", "filters", "joins", "windows", "ranking", "aggregates")
 
 
 def _gather(what: str) -> dict:
@@ -19,7 +19,7 @@ def _gather(what: str) -> dict:
 
 
 def flagship(spark: SparkSession, directory: str) -> DataFrame:
-    return queries()["p4_found"](spark, directory)
+    return queries()["RNK-01"](spark, directory)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

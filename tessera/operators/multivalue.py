@@ -5,9 +5,10 @@ values begin (``path``: ``Word::``, ``number``, ``text``).  Every candidate
 delimiter is then scored on the source's values: the share of the pieces behind
 it that begin as that type (type regularity), damped by how unevenly it cuts
 (the spread of the piece counts).  Delimiters above ``least_score`` are the
-source's; small sources lean on the score over all sources.  A value is cut at
-those delimiters, where a piece of the type begins after them, or, for plain
-text, outside double quotes.  So a comma within a value is no cut, and values
+source's; small sources lean on the score over all sources.  Plain text does not
+show where a piece begins, so there only the delimiter that cuts most values
+counts.  A value is cut at those delimiters, where a piece of the type begins
+after them, or, for plain text, outside double quotes.  So a comma within a value is no cut, and values
 that mix delimiters are cut at each.
 
 Scale.  Scores are one aggregation with map-side combine; the profile has a row
@@ -49,26 +50,26 @@ def _named(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({"source": "_s", "field": "_f"})
 
 
-def delimiter_profile(values: DataFrame, candidates: Sequence[str] = CANDIDATES, least_score: float = 0.5, lean: float = 20.0) -> DataFrame:
+def delimiter_profile(values: DataFrame, candidates: Sequence[str] = CANDIDATES, least_score: float = 0.15, lean: float = 20.0) -> DataFrame:
     """``values`` (source, field, value) -> source, field, kind, delimiters, scores, cut (the pattern of a cut).
 
     Scores map each candidate to its score.  A source without any delimited
     value has the delimiters of all sources together.
     """
     said = values.where("value is not null and value rlike '\\\\S'")
-    kinds = said.groupBy("source", "field").agg(F.mode(_head(F.col("value")), True).alias("kind"))
+    kinds = said.groupBy("source", "field").agg(F.mode(_head(F.col("value")), True).alias("kind"), F.count("*").alias("values"))
     marked = said.select("source", "field", "value", F.explode(F.array(*(F.lit(c) for c in candidates))).alias("d")).where(F.contains("value", F.col("d")))
     pieces = F.filter(F.transform(F.split(F.col("value"), F.concat(F.lit("\\Q"), F.col("d"), F.lit("\\E"))), lambda p: F.regexp_replace(p, r"^[\s\"'\\\[\]]+|[\s\"'\\\[\]]+$", "")), lambda p: p != "")
     begins = F.create_map(*(x for k, v in _BEGINS.items() for x in (F.lit(k), F.lit("^" + v))))
     counted = (
-        marked.join(_named(kinds), F.col("source").eqNullSafe(F.col("_s")) & F.col("field").eqNullSafe(F.col("_f")))
+        marked.join(_named(kinds.drop("values")), F.col("source").eqNullSafe(F.col("_s")) & F.col("field").eqNullSafe(F.col("_f")))
         .select("source", "field", "kind", "d", pieces.alias("p"))
         .where(F.size("p") > 1)
         .select("source", "field", "d", (F.size("p") - 1).alias("n"), F.size(F.filter(F.slice("p", 2, F.greatest(F.size("p"), F.lit(1))), lambda x: F.rlike(x, F.element_at(begins, F.col("kind"))))).alias("good"))
     )
-    one = counted.groupBy("source", "field", "d").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.coalesce(F.stddev_pop("n") / F.nullif(F.avg("n"), F.lit(0.0)), F.lit(0.0)).alias("spread"))
+    one = counted.groupBy("source", "field", "d").agg(F.count("*").alias("held"), F.sum("n").alias("n"), F.sum("good").alias("good"), F.coalesce(F.stddev_pop("n") / F.nullif(F.avg("n"), F.lit(0.0)), F.lit(0.0)).alias("spread"))
     every = one.groupBy("d").agg(F.try_divide(F.sum("good"), F.sum("n")).alias("share"))
-    source = kinds.select("source", "field", "kind", F.explode(F.array(*(F.lit(c) for c in candidates))).alias("d")).join(every, "d", "left")
+    source = kinds.select("source", "field", "kind", "values", F.explode(F.array(*(F.lit(c) for c in candidates))).alias("d")).join(every, "d", "left")
     same = F.col("source").eqNullSafe(F.col("_s")) & F.col("field").eqNullSafe(F.col("_f")) & (F.col("d") == F.col("_d"))
     scored = source.join(_named(one).withColumnRenamed("d", "_d"), same, "left").select(
         "source",
@@ -76,12 +77,15 @@ def delimiter_profile(values: DataFrame, candidates: Sequence[str] = CANDIDATES,
         "kind",
         "d",
         F.round((F.coalesce("good", F.lit(0)) + lean * F.coalesce("share", F.lit(0.0))) / (F.coalesce("n", F.lit(0)) + lean) / (1 + 0.25 * F.coalesce("spread", F.lit(0.0))), 6).alias("score"),
+        (F.coalesce("held", F.lit(0)) / F.col("values")).alias("reach"),
     )
     quoted = F.create_map(*(x for c in candidates for x in (F.lit(c), F.lit(re.escape(c) if c not in "\n\t" else {"\n": "\\n", "\t": "\\t"}[c]))))
     profile = scored.groupBy("source", "field", "kind").agg(
         F.sort_array(F.collect_list(F.when(F.col("score") >= least_score, F.col("d")))).alias("delimiters"),
+        F.max_by(F.when(F.col("reach") > 0, F.col("d")), F.struct(F.col("score") * F.col("reach"), "d")).alias("widest"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("d", "score")))).alias("scores"),
     )
+    profile = profile.withColumn("delimiters", F.when(F.col("kind") == "text", F.filter(F.array("widest"), lambda d: d.isNotNull())).otherwise(F.col("delimiters"))).drop("widest")
     signs = F.concat(F.lit("["), F.array_join(F.transform("delimiters", lambda d: F.element_at(quoted, d)), ""), F.lit("]"))
     around = F.concat(F.lit(r"[\s\"'\\]*"), signs, F.lit(r"(?:[\s\"'\\\[\]]|"), signs, F.lit(")*"))
     cut = F.when(F.size("delimiters") == 0, F.lit(None).cast("string")).when(F.col("kind") == "path", F.concat(around, F.lit("(?=" + _BEGINS["path"] + ")"))).otherwise(F.concat(signs, F.lit(r'(?=(?:[^"]*"[^"]*")*[^"]*$)')))

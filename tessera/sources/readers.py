@@ -151,7 +151,7 @@ def image_size(content: bytes) -> tuple[int, int] | None:
 
 
 def image_sizes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path, width and height of images; both null where the header can't be read."""
+    """Path, width and height of images; both null where the header can't be read; files of no length are not listed."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -14,6 +14,7 @@ from tessera.llm.spans import SharedSpans
 from tessera.llm.split import split_oversized
 from tessera.llm.tokens import VOCABULARY, count_tokens
 from tessera.operators.current import current_rows
+from tessera.session import cut_lineage
 from tessera.sources.tables import read_table
 
 # --- 1: near-duplicates
@@ -61,8 +62,8 @@ def _mapped(spark: SparkSession, sf: str) -> list[DataFrame]:
     }
     out = []
     for table, (column, entries) in lists.items():
-        rows = current_rows(read_table(spark, sf, table), "record_id", [column]).select("record_id", F.col(column).alias("value"))
-        found = match_values(rows, entries).join(F.broadcast(entries.select("name").distinct()), F.col("value") == F.col("name"), "left")
+        rows = cut_lineage(current_rows(read_table(spark, sf, table), "record_id", [column]).select("record_id", F.col(column).alias("value")))
+        found = match_values(rows, entries).join(entries.select("name").distinct(), F.col("value") == F.col("name"), "left")
         out.append(rows.join(found, "value").select(F.lit(table).alias("tbl"), "record_id", "value", "name", "canon_id", "similarity"))
     return out
 

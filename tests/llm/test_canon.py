@@ -36,10 +36,11 @@ CASES = {
 }
 
 
-def test_match_values(spark):
+@pytest.mark.parametrize("most_entries", [100, 3])
+def test_match_values(spark, most_entries):
     values = spark.createDataFrame([(v,) for v in [*CASES, *CASES, None, "", "  ", "\t"]], "value string")
     entries = spark.createDataFrame(ENTRIES, "id int, name string, alias string, core string")
-    got = {r["value"]: r["canon_id"] for r in match_values(values, entries).collect()}
+    got = {r["value"]: r["canon_id"] for r in match_values(values, entries, most_entries=most_entries).collect()}
     assert got == CASES
 
 

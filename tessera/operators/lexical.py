@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.text import normalize
+from tessera.session import cut_lineage
 
 
 def query_terms(text: str, stop: Sequence[str], most: int = 12) -> list[str]:
@@ -21,24 +23,29 @@ def query_terms(text: str, stop: Sequence[str], most: int = 12) -> list[str]:
 def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Scores of the documents with any of the terms: key, n_terms (distinct terms hit), score.
 
-    One pass takes each document's length and term counts; the corpus figures
-    (documents, mean length, document counts per term) are one row, joined by
-    broadcast.  Only documents with a hit are scored; nothing is shuffled but
-    partial sums.  Null and empty texts count in the corpus with length 0.
+    Texts are read once: that pass keeps the length and term counts of the
+    documents with a hit, a few numbers each, and observes the corpus figures
+    (documents, mean length, documents per term) on its way.  Counting is done
+    on the text itself, without splitting it into words.  Null and empty texts
+    count in the corpus with length 0.
     """
-    said = docs.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    counts = [F.size(F.filter("_t", F.lit(t).__eq__)).alias(f"_f{i}") for i, t in enumerate(terms)]
-    stats = said.select(key, F.size("_t").alias("_len"), *counts)
-    corpus = stats.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.sum((F.col(f"_f{i}") > 0).cast("bigint")).alias(f"_d{i}") for i in range(len(terms))))
-    hit = F.lit(0)
-    score = F.lit(0.0)
+    padded = F.concat(F.lit(" "), F.replace(normalize(F.coalesce(F.col(text), F.lit(""))), F.lit(" "), F.lit("  ")), F.lit(" "))
+    said = docs.select(key, padded.alias("_p"))
+    gaps = F.length("_p") - F.length(F.replace("_p", F.lit("  "), F.lit(" ")))
+    counts = [((F.length("_p") - F.length(F.replace("_p", F.lit(f" {t} "), F.lit("")))) / (len(t) + 2)).cast("int").alias(f"_f{i}") for i, t in enumerate(terms)]
+    stats = said.select(key, F.when(F.trim("_p") == "", 0).otherwise(gaps + 1).alias("_len"), *counts)
+    seen = Observation()
+    some = stats.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("_len").alias("len"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(terms))))
+    found = cut_lineage(some.where(" or ".join(f"_f{i} > 0" for i in range(len(terms)))))
+    corpus = seen.get
+    n, mean = corpus["n"] or 0, (corpus["len"] or 0) / max(1, corpus["n"] or 0)
+    hit, score = F.lit(0), F.lit(0.0)
     for i in range(len(terms)):
-        f, d = F.col(f"_f{i}"), F.col(f"_d{i}")
-        idf = F.ln(1 + (F.col("_n") - d + 0.5) / (d + 0.5))
-        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
+        f, d = F.col(f"_f{i}"), corpus[f"d{i}"] or 0
+        idf = math.log(1 + (n - d + 0.5) / (d + 0.5))
+        score = score + F.lit(idf) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("_len") / F.lit(mean)))
         hit = hit + (f > 0).cast("int")
-    found = stats.where(" or ".join(f"_f{i} > 0" for i in range(len(terms))))
-    return found.crossJoin(F.broadcast(corpus)).select(key, hit.alias("n_terms"), F.round(score, 6).alias("score"))
+    return found.select(key, hit.alias("n_terms"), F.round(score, 6).alias("score"))
 
 
 def tiered_search(docs: DataFrame, key: str, text: str, terms: Sequence[str], k: int) -> DataFrame:

@@ -41,6 +41,18 @@ def stream_sessions(spark, sf):
     return out.select("user_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "n")
 
 
+@register(
+    "STR-03",
+    """WITH r AS (SELECT *, row_number() OVER w AS n, max(CASE WHEN event_type = 'purchase' THEN 1 END) OVER w AS any_mark FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+            m AS (SELECT *, max(CASE WHEN event_type = 'purchase' THEN n END) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS last FROM r)
+       SELECT user_id, count(*) FILTER (WHERE event_type <> 'purchase' AND n - last <= 3) AS carried, count(*) FILTER (WHERE event_type <> 'purchase' AND (last IS NULL OR n - last > 3)) AS plain FROM m GROUP BY user_id""",
+)
+def stream_carried(spark, sf):
+    state = E.carried_forward(E.event_stream(spark, f"{sf}/events.parquet"), "purchase", 3)
+    out = E.run_to_table(state, f"c_{uuid.uuid4().hex}", "update", _place(spark))
+    return out.groupBy("user_id").agg(F.max("carried").alias("carried"), F.max("plain").alias("plain"))
+
+
 @register("STR-06", "SELECT count(DISTINCT user_id) AS users FROM events")
 def stream_first_seen(spark, sf):
     seen = E.first_seen(E.event_stream(spark, f"{sf}/events.parquet"), "user_id", "365 days").select("user_id")

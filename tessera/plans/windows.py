@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import cards, sampling, sequence
+from tessera.operators import cards, sampling, scan, sequence
 from tessera.operators.current import current_rows
 from tessera.operators.joins import first_per_key
 from tessera.plans.registry import Registry
@@ -71,9 +71,37 @@ def budgeted(spark, sf):
     return sequence.merge_by_budget(_segments(spark, sf), "package_id", "start_sec", "end_sec", "text")
 
 
+@register("WIN-08")
+def tagged_chunks(spark, sf):
+    """Chunks of one tag within budgets, without absorption of short ones."""
+    return scan.consolidate(_segments(spark, sf), "package_id", "start_sec", "end_sec", "text", "primary_tag", same=0.0, any_tag=0.0)
+
+
 @register("WIN-09")
-def budgeted_small(spark, sf):
-    return sequence.merge_by_budget(_segments(spark, sf), "package_id", "start_sec", "end_sec", "text", max_gap=25, max_span=189, max_chars=3510, min_chars=0)
+def absorbed_chunks(spark, sf):
+    """The same with short chunks joined to the one before them."""
+    return scan.consolidate(_segments(spark, sf), "package_id", "start_sec", "end_sec", "text", "primary_tag")
+
+
+_TOPICS = ("carcinoma", "fibroma", "cyst", "marker")
+
+
+def _scored(spark, sf):
+    words = F.array(*(F.struct(F.lit(t).alias("tag"), ((F.length("text") - F.length(F.replace("text", F.lit(t), F.lit("")))) / 20.0).alias("score")) for t in _TOPICS))
+    rows = _segments(spark, sf).withColumn("scores", F.filter(words, lambda x: x["score"] > 0))
+    return rows.withColumn("reset", F.contains("text", F.lit("agenda")))
+
+
+@register("WIN-12")
+def sticky_keywords(spark, sf):
+    """Weak rows inherit the last topic; it is held while its score is at least 0.9 of the best (here: within 0.05)."""
+    return scan.sticky_hold(_scored(spark, sf), "package_id", ["start_sec", "segment_id"], "segment_id", "scores", "reset", within=0.05, least=0.0)
+
+
+@register("WIN-14")
+def sticky_semantic(spark, sf):
+    """The last topic is held while it is within 0.025 of the best and at least 0.48."""
+    return scan.sticky_hold(_scored(spark, sf), "package_id", ["start_sec", "segment_id"], "segment_id", "scores", "reset")
 
 
 @register("WIN-10", f"SELECT segment_id, substr(concat_ws(' ', lag(text) OVER w, text, lead(text) OVER w), 1, 120) AS context FROM {_SEG} WINDOW w AS (PARTITION BY package_id ORDER BY start_sec, segment_id)")

@@ -35,6 +35,37 @@ def first_seen(events: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
+def carried_forward(events: DataFrame, marks: str, most_rows: int, late: str = "1 day") -> DataFrame:
+    """Per user the number of events that fall under a mark: user_id, carried, plain (running totals with each batch).
+
+    An event of type ``marks`` sets the user's mark; it covers up to
+    ``most_rows`` further events, then expires.  Events of a user are taken in
+    order of time within a batch, batches as they come.  State is three numbers
+    per user and goes after thirty days of event time without an event.
+    """
+    import pandas as pd
+
+    def step(key, frames, state):
+        left, carried, plain = state.get if state.exists else (0, 0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        for kind in rows["event_type"]:
+            if kind == marks:
+                left = most_rows
+            elif left > 0:
+                left, carried = left - 1, carried + 1
+            else:
+                plain += 1
+        state.update((left, carried, plain))
+        state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + 30 * 86_400_000)
+        yield pd.DataFrame({"user_id": [key[0]], "carried": [carried], "plain": [plain]})
+
+    rows = events.withWatermark("ts", late).select("user_id", "ts", "event_id", "event_type")
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, carried bigint, plain bigint", "remaining bigint, carried bigint, plain bigint", "update", "EventTimeTimeout")
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Run a bounded stream to its end into a memory table (of a small result) and give that table."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -191,3 +191,25 @@ def test_per_group_sample_is_stable(spark):
     df = spark.range(200).select("id", (F.col("id") % 3).alias("g"))
     a = rows(sampling.per_group(df, ["g"], "id", 5, 1))
     assert a == rows(sampling.per_group(df.repartition(7), ["g"], "id", 5, 1)) and len(a) == 15
+
+
+def test_consolidation_absorbs_short_chunks(spark):
+    from tessera.operators.scan import consolidate
+
+    data = [("p", 0.0, 60.0, "x" * 10, "a"), ("p", 61.0, 70.0, "y", "b"), ("p", 71.0, 130.0, "z", "a"), ("p", 400.0, None, "w", None), ("q", 5.0, 9.0, None, "a")]
+    df = spark.createDataFrame(data, "e string, s double, t double, x string, g string")
+    plain = rows(consolidate(df, "e", "s", "t", "x", "g", same=0.0, any_tag=0.0))
+    assert [r[1:4] for r in plain if r[0] == "p"] == [(0.0, 60.0, 1), (400.0, 400.0, 1), (61.0, 70.0, 1), (71.0, 130.0, 1)]
+    joined = rows(consolidate(df, "e", "s", "t", "x", "g"))
+    assert [r[1:4] for r in joined if r[0] == "p"] == [(0.0, 70.0, 2), (400.0, 400.0, 1), (71.0, 130.0, 1)]
+    assert [r for r in joined if r[0] == "q"] == [("q", 5.0, 9.0, 1, 0, "a")]
+    assert consolidate(df.limit(0), "e", "s", "t", "x", "g").count() == 0
+
+
+def test_hold_keeps_a_close_choice_and_resets(spark):
+    from tessera.operators.scan import sticky_hold
+
+    data = [("p", 1, "r1", [("a", 0.9), ("b", 0.8)], False), ("p", 2, "r2", [("a", 0.60), ("b", 0.62)], False), ("p", 3, "r3", [("a", 0.5), ("b", 0.9)], False), ("p", 4, "r4", [], False), ("p", 5, "r5", [("a", 1.0)], True), ("p", 6, "r6", None, False)]
+    df = spark.createDataFrame(data, "e string, n int, id string, scores array<struct<tag string, score double>>, r boolean")
+    got = [(r["id"], r["tag"], r["basis"]) for r in sticky_hold(df, "e", ["n"], "id", "scores", "r").orderBy("id").collect()]
+    assert got == [("r1", "a", "best"), ("r2", "a", "held"), ("r3", "b", "best"), ("r4", "b", "carried"), ("r5", None, "reset"), ("r6", None, "none")]

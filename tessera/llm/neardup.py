@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.meet import meet, with_sides
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, written_table
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -93,30 +93,34 @@ class _Signer:
         return (low >> np.uint64(32)).astype(np.uint32)
 
 
-def _sign(bands: int, rows: int):
+def _sign(hashes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = _Signer(hashes)
+        for batch in batches:
+            if batch.num_rows:
+                short = [signer(t).astype("<u2").tobytes() for t in batch.column("words").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(short, pa.binary())], names=[*batch.schema.names, "signature"])
+
+    return run
+
+
+def _bands(bands: int, rows: int):
+    """A key per band of a signature: id -> mark, doc_id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = _Signer(bands * rows)
         mixer = np.random.default_rng(5).integers(1, 1 << 63, rows, dtype=np.uint64) | np.uint64(1)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            signatures = np.stack([signer(t) for t in batch.column("words").to_pylist()])
-            keys = (signatures.reshape(-1, bands, rows).astype(np.uint64) * mixer).sum(axis=2, dtype=np.uint64)
+            signatures = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, bands, rows)
+            keys = (signatures.astype(np.uint64) * mixer).sum(axis=2, dtype=np.uint64)
             keys += (np.arange(bands, dtype=np.uint64) + np.uint64(1)) * _M3
             keys ^= batch.column("salt").to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
             keys ^= keys >> np.uint64(31)
             keys *= _M1
             keys ^= keys >> np.uint64(30)
-            short = signatures.astype("<u2")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    batch.column("words"),
-                    pa.array([s.tobytes() for s in short], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64))),
-                ],
-                names=["id", "words", "signature", "bands"],
-            )
+            ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["mark", "doc_id"])
 
     return run
 
@@ -196,22 +200,22 @@ class NearDuplicates:
 
     def __init__(self, df: DataFrame, threshold: float = 0.7, least_words: int = 20, bands: int = 40, rows: int = 5, miss: float = 1e-5, batch: int = 32, most: int = 64):
         said = df.select("tbl", "key", word_text(F.col("text")).alias("words")).where(F.size(F.split("words", " ")) >= least_words)
-        said = cut_lineage(said.withColumn("mark", F.md5(F.concat_ws("\n", F.coalesce("tbl", F.lit("")), "words"))))
-        classes = said.groupBy("mark").agg(F.min("words").alias("words"), F.min("tbl").alias("tbl"))
-        classes = classes.select(F.monotonically_increasing_id().alias("id"), "mark", "words", F.xxhash64("tbl").alias("salt"))
-        # ids are numbers given by place, so the rows are written before anything refers to them
-        classes = cut_lineage(classes)
-        signed = cut_lineage(classes.mapInArrow(_sign(bands, rows), "id bigint, words string, signature binary, bands array<bigint>"))
-        met = cut_lineage(meet(signed.select(F.explode("bands").alias("mark"), F.col("id").alias("doc_id")), most))
+        said = written_table(said.withColumn("mark", F.md5(F.concat_ws("\n", F.coalesce("tbl", F.lit("")), "words"))))
+        classes = said.groupBy("mark").agg(F.min("words").alias("words"), F.xxhash64(F.min("tbl")).alias("salt"))
+        # ids are numbers given by place: they are written once, and everything that refers to them reads what was written
+        classes = classes.select(F.monotonically_increasing_id().alias("id"), "mark", "salt", "words")
+        signed = written_table(classes.mapInArrow(_sign(bands * rows), "id bigint, mark string, salt bigint, words string, signature binary"))
+        marks = signed.select("id", "salt", "signature").mapInArrow(_bands(bands, rows), "mark bigint, doc_id bigint")
+        met = cut_lineage(meet(marks, most))
         candidates = met.where("b is not null").select("a", "b").distinct()
         pruned = with_sides(candidates, signed, "signature").mapInArrow(_prune(least_matches(threshold, miss, batch, bands * rows)), "a bigint, b bigint")
         hot = met.where("b is null").select(F.col("a").alias("id")).distinct()
         if not hot.isEmpty():
-            salts = classes.select("id", "salt")
+            salts = signed.select("id", "salt")
             exact = _hot_pairs(signed, hot, threshold).join(salts.withColumnsRenamed({"id": "a", "salt": "sa"}), "a").join(salts.withColumnsRenamed({"id": "b", "salt": "sb"}), "b")
             pruned = pruned.unionByName(exact.where("sa = sb").select("a", "b")).distinct()
         self.links = cut_lineage(with_sides(pruned, signed, "words").mapInArrow(_verify(threshold), "a bigint, b bigint, similarity double"))
-        self.members = said.select("tbl", "key", "mark").join(classes.select("mark", "id"), "mark").select("tbl", "key", "id")
+        self.members = said.select("tbl", "key", "mark").join(signed.select("mark", "id"), "mark").select("tbl", "key", "id")
 
     def pairs(self) -> DataFrame:
         """tbl, key_a < key_b of all pairs of records alike, copies expanded."""

@@ -129,10 +129,10 @@ def semantic_gate(spark, sf):
     return top.select("vec_id", F.when(best < 0.3, "low_similarity").when(F.round(best - second, 6) < 0.035, "ambiguous").otherwise("pass").alias("gate"), F.col("t")[0]["l"].alias("label"))
 
 
-@register("JN-08", "WITH m AS (SELECT image_path, min('https://img.example/' || md5(image_path)) AS url FROM chunks WHERE chapter_number % 2 = 0 AND image_path IS NOT NULL GROUP BY 1) SELECT chunk_id, ingested_at, coalesce(m.url, 'proxy:' || c.image_path) AS url, CASE WHEN m.url IS NOT NULL THEN 'public' ELSE 'proxy' END AS mode FROM chunks c LEFT JOIN m USING (image_path) WHERE c.image_path IS NOT NULL")
+@register("JN-08", "WITH m AS (SELECT image_path, min('https://img.example/' || md5(image_path)) AS url FROM chunks WHERE figure_id IS NOT NULL AND image_path IS NOT NULL GROUP BY 1) SELECT chunk_id, ingested_at, coalesce(m.url, 'proxy:' || c.image_path) AS url, CASE WHEN m.url IS NOT NULL THEN 'public' ELSE 'proxy' END AS mode FROM chunks c LEFT JOIN m USING (image_path) WHERE c.image_path IS NOT NULL")
 def public_urls(spark, sf):
     rows = read_table(spark, sf, "chunks").where("image_path is not null")
-    urls = rows.where("chapter_number % 2 = 0").groupBy("image_path").agg(F.min(F.concat(F.lit("https://img.example/"), F.md5("image_path"))).alias("u"))
+    urls = rows.where("figure_id is not null").groupBy("image_path").agg(F.min(F.concat(F.lit("https://img.example/"), F.md5("image_path"))).alias("u"))
     return rows.join(urls, "image_path", "left").select("chunk_id", "ingested_at", F.coalesce("u", F.concat(F.lit("proxy:"), "image_path")).alias("url"), F.when(F.col("u").isNotNull(), "public").otherwise("proxy").alias("mode"))
 
 

@@ -138,11 +138,11 @@ def carried(spark, sf):
 
 @register(
     "WIN-15",
-    """WITH r AS (SELECT record_id, source_name, score, row_number() OVER (PARTITION BY section ORDER BY score, record_id, ingested_at) AS n, min((score, record_id, ingested_at)) OVER (PARTITION BY section) AS f, ingested_at FROM gi_crc_standalone WHERE score < -12)
+    """WITH r AS (SELECT record_id, source_name, score, row_number() OVER (PARTITION BY section ORDER BY score, record_id, ingested_at) AS n, min((score, record_id, ingested_at)) OVER (PARTITION BY section) AS f, ingested_at FROM gi_crc_standalone)
        SELECT record_id, ingested_at, row_number() OVER (ORDER BY n, f)::INT AS position FROM r QUALIFY position <= 50""",
 )
 def interleaved(spark, sf):
-    rows = read_table(spark, sf, "gi_crc_standalone").where("score < -12")
+    rows = read_table(spark, sf, "gi_crc_standalone")
     return cards.interleave(rows, "section", ["score", "record_id", "ingested_at"], 50).select("record_id", "ingested_at", "position")
 
 

@@ -1,4 +1,4 @@
-"""Fuzzy joins within blocks."""
+"""Fuzzy joins to a list of entries."""
 
 from __future__ import annotations
 
@@ -7,6 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Words that say too little to match on (who_section_mentions.py:205-228).
+GENERIC = (
+    "carcinoma", "carcinomas", "adenocarcinoma", "adenocarcinomas", "tumor", "tumour", "tumors", "tumours", "neoplasm", "neoplasms", "lesion", "lesions",
+    "cell", "cells", "clear", "gland", "glands", "malignant", "benign", "carcinosarcoma", "of", "in", "situ",
+)
+
 
 def edit_similarity(a: Column, b: Column) -> Column:
     """One less the edit distance over the longer length."""
@@ -25,3 +31,26 @@ def blocked_best(values: DataFrame, entries: DataFrame, value: str, entry: str,
     scored = a.join(b, "_b").withColumn("similarity", F.round(edit_similarity(F.col("value"), F.col("_e")), 6)).where(F.col("similarity") >= least)
     best = scored.groupBy("value").agg(F.max(F.struct("similarity", (-F.col("_id")).alias("n"))).alias("x"))
     return best.select("value", (-F.col("x.n")).alias(entry_id), F.col("x.similarity").alias("similarity"))
+
+
+def distinctive(text: Column) -> Column:
+    """Distinct words of a normalised text that have over two letters and are not generic."""
+    return F.array_distinct(F.filter(F.split(text, " "), lambda w: (F.length(w) > 2) & ~w.isin(*GENERIC)))
+
+
+def conservative_best(values: DataFrame, entries: DataFrame, value: str, entry: str, entry_id: str) -> DataFrame:
+    """The best entry of each distinct normalised value: the same text, else the highest score of at least 0.5; ties go to the smaller id.
+
+    Where one text holds the other the score is the shorter length over the longer, elsewhere the shared distinctive words over the larger set of them.
+    Either needs a distinctive word in the value.  Blank values and entries match nothing.  The entries are a fixed list.
+    """
+    a = values.select(F.col(value).alias("value")).where("value <> ''").distinct().withColumn("_w", distinctive(F.col("value")))
+    b = entries.select(F.col(entry).alias("_e"), F.col(entry_id).alias("_id")).where("_e <> ''")
+    same, inside = F.col("value") == F.col("_e"), F.contains("value", F.col("_e")) | F.contains("_e", F.col("value"))
+    lengths = F.least(F.length("value"), F.length("_e")) / F.greatest(F.length("value"), F.length("_e"))
+    held = a.join(F.broadcast(b), same | (inside & (F.size("_w") > 0))).select("value", "_id", same.alias("_same"), lengths.alias("score"))
+    words = b.withColumn("_v", distinctive(F.col("_e"))).select("_e", "_id", F.size("_v").alias("_m"), F.explode("_v").alias("_t"))
+    shared = a.select("value", F.size("_w").alias("_n"), F.explode("_w").alias("_t")).join(F.broadcast(words), "_t").groupBy("value", "_e", "_id").agg((F.count("*") / F.greatest(F.max("_n"), F.max("_m"))).alias("score"))
+    pairs = held.unionByName(shared.where(~inside).select("value", "_id", F.lit(False).alias("_same"), "score")).where("score >= 0.5")
+    best = pairs.groupBy("value").agg(F.max(F.struct("_same", F.round("score", 6).alias("score"), (-F.col("_id")).alias("n"))).alias("x"))
+    return best.select("value", (-F.col("x.n")).alias(entry_id), F.col("x.score").alias("score"))

@@ -9,6 +9,7 @@ from tessera.functions import text as T
 from tessera.functions.similarity import sequence_ratio, token_set_ratio
 from tessera.operators import sampling
 from tessera.operators.current import current_rows
+from tessera.operators.fuzzy import conservative_best
 from tessera.plans.registry import Registry
 from tessera.sources.tables import read_table
 
@@ -165,11 +166,9 @@ def best_match(spark, sf):
        SELECT v AS value, -(max((s, -entity_id))[2])::INT AS entity_id, max(s)::DOUBLE AS score FROM s WHERE s >= 0.5 GROUP BY v""".replace("-(max((s, -entity_id))[2])::INT", "arg_max(entity_id, (s, -entity_id))"),
 )
 def conservative_match(spark, sf):
-    v = read_table(spark, sf, "gi_crc_standalone").where("entity_name is not null").select(T.normalize(F.col("entity_name")).alias("value")).distinct()
-    e = F.broadcast(read_table(spark, sf, "canonical_entities").select("entity_id", T.normalize(F.col("entity_name")).alias("e")))  # a fixed list
-    held, holds = F.contains("value", F.col("e")), F.contains("e", F.col("value")) & (F.length("value") > 5)
-    score = F.when(F.col("value") == F.col("e"), 1.0).when(held, F.round(F.length("e") / F.length("value"), 6)).otherwise(F.round(F.length("value") / F.length("e"), 6))
-    return v.join(e, held | holds).withColumn("s", score).where("s >= 0.5").groupBy("value").agg(F.max(F.struct("s", (-F.col("entity_id")).alias("n"))).alias("x")).select("value", (-F.col("x.n")).alias("entity_id"), F.col("x.s").alias("score"))
+    values = read_table(spark, sf, "gi_crc_standalone").select(T.normalize(F.col("entity_name")).alias("value"))
+    entries = read_table(spark, sf, "canonical_entities").select("entity_id", T.normalize(F.col("entity_name")).alias("entry"))
+    return conservative_best(values, entries, "value", "entry", "entity_id")
 
 
 @register("JN-19", "WITH q AS (SELECT doc_id, CASE WHEN n_chars <> length(text) THEN 'wrong_length' WHEN trim(text) = '' THEN 'blank' END AS flag FROM documents) SELECT d.doc_id, coalesce(q.flag, 'clean') AS flag FROM documents d LEFT JOIN q ON q.doc_id = d.doc_id AND q.flag IS NOT NULL")

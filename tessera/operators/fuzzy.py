@@ -20,15 +20,20 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 
 def blocked_best(values: DataFrame, entries: DataFrame, value: str, entry: str, entry_id: str, block: Callable[[Column], Column], least: float) -> DataFrame:
-    """The most similar entry of each distinct value among those of its block, if similar enough; ties go to the smaller id.
+    """The most similar entry of each distinct value among those of its block, else among all, if similar enough; ties go to the smaller id.
 
-    Values without block mate or similar entry give no row.  The join is on the
-    block key alone, so a large block may be split; the best is an aggregation
-    with map-side combine.
+    Values without an entry in their block, or with a null block, are compared
+    with every entry whose length allows the similarity.  The entries are a
+    fixed list.  The join is on the block key alone, so a large block may be
+    split; the best is an aggregation with map-side combine.
     """
     a = values.select(F.col(value).alias("value")).withColumn("_b", block(F.col("value")))
     b = entries.select(F.col(entry).alias("_e"), F.col(entry_id).alias("_id")).withColumn("_b", block(F.col("_e")))
-    scored = a.join(b, "_b").withColumn("similarity", F.round(edit_similarity(F.col("value"), F.col("_e")), 6)).where(F.col("similarity") >= least)
+    alone = a.join(F.broadcast(b.select("_b").distinct()), "_b", "left_anti")
+    longer, shorter = F.greatest(F.length("value"), F.length("_e")), F.least(F.length("value"), F.length("_e"))
+    near = alone.select("value").join(F.broadcast(b.drop("_b")), longer - shorter <= longer * (1 - least) + 0.001)
+    pairs = a.join(b, "_b").select("value", "_e", "_id").unionByName(near.select("value", "_e", "_id"))
+    scored = pairs.withColumn("similarity", F.round(edit_similarity(F.col("value"), F.col("_e")), 6)).where(F.col("similarity") >= least)
     best = scored.groupBy("value").agg(F.max(F.struct("similarity", (-F.col("_id")).alias("n"))).alias("x"))
     return best.select("value", (-F.col("x.n")).alias(entry_id), F.col("x.similarity").alias("similarity"))
 

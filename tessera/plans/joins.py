@@ -137,7 +137,7 @@ def blocked_edit_join(spark, sf):
 
     values = read_table(spark, sf, "gi_crc_standalone").select(F.lower("entity_name").alias("value")).where(T.present(F.col("value")).isNotNull()).distinct()
     entries = read_table(spark, sf, "canonical_entities").select("entity_id", F.lower("entity_name").alias("entry"))
-    return blocked_best(values, entries, "value", "entry", "entity_id", lambda c: F.split(c, " ")[0], 0.8)
+    return blocked_best(values, entries, "value", "entry", "entity_id", lambda c: F.nullif(F.regexp_extract(c, "[a-z0-9]+", 0), F.lit("")), 0.8)
 
 
 @register("JN-16", "SELECT r.record_id, r.ingested_at, t.tag_id FROM records r LEFT JOIN canonical_tags t ON replace(lower(r.primary_tag), ' ', '_') = lower(t.primary_tag) WHERE r.primary_tag IS NOT NULL")

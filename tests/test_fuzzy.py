@@ -1,6 +1,10 @@
 """Fuzzy joins against brute force over all pairs."""
 
-from tessera.operators.fuzzy import GENERIC, conservative_best
+import re
+
+from pyspark.sql import functions as F
+
+from tessera.operators.fuzzy import GENERIC, blocked_best, conservative_best
 
 ENTRIES = [
     (1, "plexiform neoplasm of the esophagus"),
@@ -42,3 +46,30 @@ def test_conservative_match_takes_shared_words(spark):
     assert got == {v: m for v in values if v and (m := conservative(v, ENTRIES))}
     assert got["neoplasm plexiform esophagus"] == (5, 1.0) and got["stomach sclerosing edema"] == (2, 0.75) and got["esophagus plexiform"] == (5, 1.0)
     assert "clear cell" not in got
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def edit_best(value, entries, least):
+    def first(text):
+        return (re.findall("[a-z0-9]+", text) or [None])[0]
+
+    pool = [(i, e) for i, e in entries if first(e) is not None and first(e) == first(value)] or entries
+    s, ident = max((round(1 - edits(value, e) / max(len(value), len(e), 1), 6), -i) for i, e in pool)
+    return (-ident, s) if s >= least else None
+
+
+def test_values_without_block_mate_meet_all_entries(spark):
+    entries = [(1, "verrucous mesothelioma of the gallbladder"), (2, "giant cell adenoma of the liver"), (3, "giant cell adenomas of the liver"), (4, "cyst of the liver"), (5, "abcd")]
+    values = ["verrducous mesothelioma of the gallbladder", "x giant cell adenoma of the liver", "giant cyst of the liver", "cyst, of the liver", "??? of the liver", "zbcde", "nothing near"]
+    v, e = spark.createDataFrame([(x,) for x in [*values, None]], "v string"), spark.createDataFrame([*entries, (6, None)], "id int, e string")
+    out = blocked_best(v, e, "v", "e", "id", lambda c: F.nullif(F.regexp_extract(c, "[a-z0-9]+", 0), F.lit("")), 0.6).collect()
+    assert {r["value"]: (r["id"], r["similarity"]) for r in out} == {x: m for x in values if (m := edit_best(x, entries, 0.6))}
+    assert {r["value"]: r["id"] for r in out}["verrducous mesothelioma of the gallbladder"] == 1 and len(out) == 6

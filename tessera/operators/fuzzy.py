@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.similarity import token_set_from
+
 #: Words that say too little to match on (who_section_mentions.py:205-228).
 GENERIC = (
     "carcinoma", "carcinomas", "adenocarcinoma", "adenocarcinomas", "tumor", "tumour", "tumors", "tumours", "neoplasm", "neoplasms", "lesion", "lesions",
@@ -59,3 +61,22 @@ def conservative_best(values: DataFrame, entries: DataFrame, value: str, entry:
     pairs = held.unionByName(shared.where(~inside).select("value", "_id", F.lit(False).alias("_same"), "score")).where("score >= 0.5")
     best = pairs.groupBy("value").agg(F.max(F.struct("_same", F.round("score", 6).alias("score"), (-F.col("_id")).alias("n"))).alias("x"))
     return best.select("value", (-F.col("x.n")).alias(entry_id), F.col("x.score").alias("score"))
+
+
+def token_set_best(values: DataFrame, entries: DataFrame, value: str, entry: str, entry_id: str, least: float) -> DataFrame:
+    """The entry of the highest token-set ratio of each distinct normalised value, if it is at least ``least``; ties go to the smaller id.
+
+    Every value meets every entry; only pairs whose lengths and common words show that they can't reach ``least`` are not scored.
+    Blank values and entries match nothing.  The entries are a fixed list.
+    """
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    size = lambda c: F.length(F.array_join(c, " "))
+    a = values.select(F.col(value).alias("value")).where("value <> ''").distinct().repartition(values.sparkSession.sparkContext.defaultParallelism)
+    a = a.withColumn("_w", words(F.col("value"))).withColumn("_n", size(F.col("_w")))
+    b = entries.select(F.col(entry).alias("_e"), F.col(entry_id).alias("_id")).where("_e <> ''").withColumn("_v", words(F.col("_e"))).withColumn("_m", size(F.col("_v")))
+    lower, shorter = least - 0.001, F.least("_n", "_m")  # scores are rounded
+    both, common = F.col("_n") + F.col("_m"), size(F.array_intersect("_w", "_v"))
+    pairs = a.join(F.broadcast(b), (200.0 * shorter >= lower * both) | (200.0 * common >= lower * (common + shorter)))
+    scored = pairs.withColumn("score", F.round(token_set_from(lower)("value", "_e"), 4)).where(F.col("score") >= least)
+    best = scored.groupBy("value").agg(F.max(F.struct("score", (-F.col("_id")).alias("n"))).alias("x"))
+    return best.select("value", (-F.col("x.n")).alias(entry_id), F.col("x.score").alias("score"))

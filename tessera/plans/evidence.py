@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.similarity import sequence_ratio, token_set_ratio
+from tessera.functions.similarity import sequence_ratio
 from tessera.operators import sampling
 from tessera.operators.current import current_rows
-from tessera.operators.fuzzy import conservative_best
+from tessera.operators.fuzzy import conservative_best, token_set_best
 from tessera.plans.registry import Registry
 from tessera.sources.tables import read_table
 
@@ -139,12 +139,10 @@ def public_urls(spark, sf):
 
 @register("JN-14")
 def token_set_join(spark, sf):
-    """Values with an entity of the same last word whose token-set ratio is at least 90."""
-    values = read_table(spark, sf, "gi_crc_standalone").select(T.normalize(F.col("entity_name")).alias("value")).where("value <> ''").distinct().withColumn("b", F.element_at(F.split("value", " "), -1))
-    entries = read_table(spark, sf, "canonical_entities").select("entity_id", T.normalize(F.col("entity_name")).alias("entry")).withColumn("b", F.element_at(F.split("entry", " "), -1))
-    scored = values.join(entries, "b").withColumn("score", F.round(token_set_ratio("value", "entry"), 4)).where("score >= 90")
-    best = scored.groupBy("value").agg(F.max(F.struct("score", (-F.col("entity_id")).alias("n"))).alias("x"))
-    return best.select("value", (-F.col("x.n")).alias("entity_id"), "x.score")
+    """Values with an entity whose token-set ratio is at least 90."""
+    values = read_table(spark, sf, "gi_crc_standalone").select(T.normalize(F.col("entity_name")).alias("value"))
+    entries = read_table(spark, sf, "canonical_entities").select("entity_id", T.normalize(F.col("entity_name")).alias("entry"))
+    return token_set_best(values, entries, "value", "entry", "entity_id", 90)
 
 
 @register("JN-15")

@@ -4,7 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from tessera.operators.fuzzy import GENERIC, blocked_best, conservative_best
+from tessera.functions.similarity import token_set
+from tessera.operators.fuzzy import GENERIC, blocked_best, conservative_best, token_set_best
 
 ENTRIES = [
     (1, "plexiform neoplasm of the esophagus"),
@@ -73,3 +74,20 @@ def test_values_without_block_mate_meet_all_entries(spark):
     out = blocked_best(v, e, "v", "e", "id", lambda c: F.nullif(F.regexp_extract(c, "[a-z0-9]+", 0), F.lit("")), 0.6).collect()
     assert {r["value"]: (r["id"], r["similarity"]) for r in out} == {x: m for x in values if (m := edit_best(x, entries, 0.6))}
     assert {r["value"]: r["id"] for r in out}["verrducous mesothelioma of the gallbladder"] == 1 and len(out) == 6
+
+
+def test_token_sets_meet_all_entries(spark):
+    entries = [(1, "lipomatous blastoma of the pancreas"), (2, "myxoid choristoma of the bile duct"), (3, "cholangiocarcinoma"), (4, "choristoma of the bile duct myxoid"), (5, "edema"), (6, "of the liver of"), (7, "")]
+    values = [
+        "lipomatous blastoma of the panclreas", "pancreas lipomatous blastoma of the", "myxoid choristoma of the bile duct 2nd opinion", "bile duct of the myxoid choristoma choristoma",
+        "cholangiocarcinomo", "hepatic edema", "of the liver", "of the", "oedema", "quite other words", "",
+    ]
+    v = spark.createDataFrame([(x,) for x in [*values, None]], "v string")
+    want = {}
+    for x in filter(None, values):
+        score, ident = max((round(token_set(x, e), 4), -i) for i, e in entries if e)
+        if score >= 90:
+            want[x] = (-ident, score)
+    out = token_set_best(v, spark.createDataFrame([*entries, (8, None)], "id int, e string"), "v", "e", "id", 90).collect()
+    assert {r["value"]: (r["id"], r["score"]) for r in out} == want
+    assert {x: i for x, (i, _) in want.items()} == {x: i for x, i in zip(values, (1, 1, 2, 2, 3, 5, 6, 1, 5), strict=False) if x in want} and len(want) >= 7

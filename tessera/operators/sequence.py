@@ -92,3 +92,23 @@ def merge_by_budget(df: DataFrame, entity: str, start: str, end: str, text: str,
 def _windows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["entity", "window_start", "window_end", "n_rows", "n_chars"])
+
+
+def neighbour_context(df: DataFrame, partition: str, order: Sequence[str], text: str, most: int = 700) -> DataFrame:
+    """Adds ``context``: the previous, own and next text of each row, parted by single spaces.
+
+    When that is over ``most`` letters the own text stays whole; the previous
+    keeps its end, of at most half the room, the next its beginning.  Texts are
+    stripped; null and blank ones are left out, and a space stands for nothing.
+    """
+    over = Window.partitionBy(partition).orderBy(*order)
+    strip = F.regexp_replace(F.col(text), "^\\s+|\\s+$", "")
+    near = df.withColumn("_own", F.nullif(strip, F.lit(""))).withColumns({"_before": F.lag("_own").over(over), "_after": F.lead("_own").over(over)})
+    room = F.greatest(most - F.coalesce(F.length("_own"), F.lit(0)) - 2, F.lit(0))
+    half = F.floor(room / 2).cast("int")
+    left = F.when(F.length("_before") <= half, F.col("_before")).otherwise(F.substring(F.col("_before"), F.length("_before") - half + 1, half))
+    cut = near.withColumn("_left", left).withColumn("_right", F.substring(F.col("_after"), F.lit(1), room - F.coalesce(F.length("_left"), F.lit(0))))
+    whole = F.concat_ws(" ", "_before", "_own", "_after")
+    trimmed = F.concat_ws(" ", F.nullif("_left", F.lit("")), "_own", F.nullif("_right", F.lit("")))
+    context = F.when(F.length(whole) > most, trimmed).otherwise(whole)
+    return cut.withColumn("context", F.when(context == "", " ").otherwise(context)).drop("_own", "_before", "_after", "_left", "_right")

@@ -106,8 +106,7 @@ def sticky_semantic(spark, sf):
 
 @register("WIN-10", f"SELECT segment_id, substr(concat_ws(' ', lag(text) OVER w, text, lead(text) OVER w), 1, 120) AS context FROM {_SEG} WINDOW w AS (PARTITION BY package_id ORDER BY start_sec, segment_id)")
 def context(spark, sf):
-    over = Window.partitionBy("package_id").orderBy("start_sec", "segment_id")
-    return _segments(spark, sf).select("segment_id", F.substring(F.concat_ws(" ", F.lag("text").over(over), F.col("text"), F.lead("text").over(over)), 1, 120).alias("context"))
+    return sequence.neighbour_context(_segments(spark, sf), "package_id", ["start_sec", "segment_id"], "text").select("segment_id", "context")
 
 
 @register(

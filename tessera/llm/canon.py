@@ -60,14 +60,20 @@ def _allowed(word: str) -> int:
 
 
 def covers(core: Sequence[str], words: Sequence[str]) -> bool:
-    """Each core word is among ``words`` but for 1, 2 or 3 letters, by its length; a word serves once."""
-    left = list(words)
-    for c in core:
-        best = min(((d, i) for i, w in enumerate(left) if (d := edits_within(c, w, _allowed(c))) is not None), default=None)
-        if best is None:
-            return False
-        left.pop(best[1])
-    return True
+    """Each core word is among ``words`` but for 1, 2 or 3 letters, by its length; a word serves once (a matching, by augmenting paths)."""
+    near = [[i for i, w in enumerate(words) if edits_within(c, w, _allowed(c)) is not None] for c in core]
+    serves: dict[int, int] = {}
+
+    def place(c: int, tried: set[int]) -> bool:
+        for i in near[c]:
+            if i not in tried:
+                tried.add(i)
+                if i not in serves or place(serves[i], tried):
+                    serves[i] = c
+                    return True
+        return False
+
+    return all(place(c, set()) for c in range(len(core)))
 
 
 def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,11 @@
 """Mapping typed values to a list."""
 
+import itertools
+
 import pytest
 
-from tessera.llm.canon import covers, match_values
+from tessera.llm.canon import _allowed, covers, match_values
+from tessera.llm.runs import edits_within
 
 ENTRIES = [
     (1, "Giant cell adenoma of the liver", "GCAL", "Giant cell adenoma"),
@@ -59,3 +62,12 @@ def test_covers():
     assert not covers(["serrated", "cyst"], ["serrated", "polyp"])
     assert not covers(["cell", "cell"], ["cell"])
     assert covers([], ["x"])
+
+
+def test_covers_finds_a_matching_wherever_there_is_one():
+    assert covers(["cystic", "cyst"], ["endo", "parathyroid", "cyst", "cusic"])
+    pool = ["cyst", "cysts", "cystic", "cusic", "cell", "cells", "bell"]
+    for core in itertools.product(pool, repeat=2):
+        for words in itertools.product(pool, repeat=3):
+            want = any(all(edits_within(c, w, _allowed(c)) is not None for c, w in zip(core, some, strict=True)) for some in itertools.permutations(words, 2))
+            assert covers(core, words) == want

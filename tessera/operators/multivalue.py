@@ -2,17 +2,21 @@ r"""Splitting fields that pack several values with inconsistent delimiters.
 
 Method.  For each source and field the type of a piece is inferred from how
 values begin (``path``: ``Word::``, ``number``, ``text``).  Every candidate
-delimiter is then scored on the source's values: the share of the pieces behind
-it that begin as that type (type regularity), damped by how unevenly it cuts
-(the spread of the piece counts).  Delimiters above ``least_score`` are the
-source's; small sources lean on the score over all sources.  Plain text does not
-show where a piece begins, so there only the delimiter that cuts most values
-counts.  A value is cut at those delimiters, where a piece of the type begins
-after them, or, for plain text, outside double quotes.  So a comma within a value is no cut, and values
+delimiter is then scored on the source's values by two terms: type regularity,
+the share of the pieces behind it that begin as that type, and piece-count
+consistency, one over one more than the relative spread of the number of pieces
+it makes.  The score is their weighted geometric mean.  Delimiters above
+``least_score`` are the source's; small sources lean on the regularity over all
+sources.  Plain text does not show where a piece begins, so there only the
+delimiter that cuts most values counts.  A value is cut at the source's
+delimiters alone, where a piece of the type begins after them, or, for plain
+text, outside double quotes.  So a comma within a value is no cut, and values
 that mix delimiters are cut at each.
 
-Scale.  Scores are one aggregation with map-side combine; the profile has a row
-per source and field, and rows meet it by a join that may split a hot source.
+Scale.  Scores are one aggregation with map-side combine over the packed rows;
+all else happens on its result of a row per source, field and candidate.  The
+profile goes to every task if its sources, counted first, are at most
+``most_sources``; otherwise rows meet it by a join that may split a hot source.
 Everything is built-in expressions.
 """
 
@@ -21,7 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CANDIDATES = ("\n", "\t", "|", ";", ",", "/", "&", "_")
@@ -40,46 +44,77 @@ def _head(value: Column) -> Column:
     )
 
 
-def _clean(piece: Column) -> Column:
-    """A piece without surrounding blanks, quotes, brackets and stray delimiters, doubled or escaped signs undone."""
-    bare = F.regexp_replace(piece, r"^[\s\"'\\\[\];,|/&]+|[\s\"'\\\[\];,|/&]+$", "")
-    return F.regexp_replace(F.replace(bare, F.lit('""'), F.lit('"')), r"\\(.)", "$1")
+#: Signs around a piece that never belong to it.
+_AROUND = " \t\n\x0b\f\r\"'\\[]"
 
 
-def _named(df: DataFrame) -> DataFrame:
-    return df.withColumnsRenamed({"source": "_s", "field": "_f"})
+#: Signs at either end of a field that blanks set off from its values.
+_STRAY = r"^\s*[;,|/&]+(?=\s)|(?<=\s)[;,|/&]+\s*$"
 
 
-def delimiter_profile(values: DataFrame, candidates: Sequence[str] = CANDIDATES, least_score: float = 0.15, lean: float = 20.0) -> DataFrame:
+def _clean(piece: Column, delimiters: Column) -> Column:
+    """A piece without surrounding blanks, quotes, brackets and delimiters of its source, doubled or escaped signs undone."""
+    bare = F.btrim(piece, F.concat(F.lit(_AROUND), F.array_join(F.coalesce(delimiters, F.array().cast("array<string>")), "")))
+    bare = F.when(F.contains(bare, F.lit('""')), F.replace(bare, F.lit('""'), F.lit('"'))).otherwise(bare)
+    return F.when(F.contains(bare, F.lit("\\")), F.regexp_replace(bare, r"\\(.)", "$1")).otherwise(bare)
+
+
+def _sign(d: str) -> str:
+    return {"\n": "\\n", "\t": "\\t"}.get(d) or re.escape(d)
+
+
+def _counts(value: Column, d: str) -> Column:
+    """Of a value that holds ``d``: the pieces behind it, and those of them that begin as each type."""
+    skip = rf"[\s\"'\\\[\]&&[^{_sign(d)}]]*"
+    cut = rf"[^\s\"'\\\[\]{_sign(d)}]{skip}(?:{_sign(d)}{skip})+"
+    n = F.regexp_count(value, F.lit(rf"{cut}(?=[^\s\"'\\\[\]{_sign(d)}])"))
+    path, number = (F.regexp_count(value, F.lit(f"{cut}(?={_BEGINS[k]})")) for k in ("path", "number"))
+    return F.when(F.contains(value, F.lit(d)), F.struct(F.lit(d).alias("d"), n.alias("n"), path.alias("path"), number.alias("number"), n.alias("text")))
+
+
+def _heads(value: Column) -> Column:
+    head = _head(value)
+    return F.struct(F.lit("").alias("d"), F.lit(1).alias("n"), *((head == k).cast("int").alias(k) for k in _BEGINS))
+
+
+def _same(*columns: str) -> Column:
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return same
+
+
+def delimiter_profile(values: DataFrame, candidates: Sequence[str] = CANDIDATES, least_score: float = 0.3, lean: float = 20.0) -> DataFrame:
     """``values`` (source, field, value) -> source, field, kind, delimiters, scores, cut (the pattern of a cut).
 
     Scores map each candidate to its score.  A source without any delimited
-    value has the delimiters of all sources together.
+    value has the delimiters of all sources together.  The kind is that of most
+    values; equal counts: path before number before text.
     """
     said = values.where("value is not null and value rlike '\\\\S'")
-    kinds = said.groupBy("source", "field").agg(F.mode(_head(F.col("value")), True).alias("kind"), F.count("*").alias("values"))
-    marked = said.select("source", "field", "value", F.explode(F.array(*(F.lit(c) for c in candidates))).alias("d")).where(F.contains("value", F.col("d")))
-    pieces = F.filter(F.transform(F.split(F.col("value"), F.concat(F.lit("\\Q"), F.col("d"), F.lit("\\E"))), lambda p: F.regexp_replace(p, r"^[\s\"'\\\[\]]+|[\s\"'\\\[\]]+$", "")), lambda p: p != "")
-    begins = F.create_map(*(x for k, v in _BEGINS.items() for x in (F.lit(k), F.lit("^" + v))))
+    marks = F.explode(F.filter(F.array(_heads(F.col("value")), *(_counts(F.col("value"), d) for d in candidates)), lambda x: x.isNotNull()))
     counted = (
-        marked.join(_named(kinds.drop("values")), F.col("source").eqNullSafe(F.col("_s")) & F.col("field").eqNullSafe(F.col("_f")))
-        .select("source", "field", "kind", "d", pieces.alias("p"))
-        .where(F.size("p") > 1)
-        .select("source", "field", "d", (F.size("p") - 1).alias("n"), F.size(F.filter(F.slice("p", 2, F.greatest(F.size("p"), F.lit(1))), lambda x: F.rlike(x, F.element_at(begins, F.col("kind"))))).alias("good"))
+        said.select("source", "field", marks.alias("m"))
+        .where("m.n > 0")
+        .groupBy("source", "field", "m.d")
+        .agg(F.count("*").alias("held"), F.sum("m.n").alias("n"), F.sum(F.col("m.n") * F.col("m.n")).alias("squares"), *(F.sum(f"m.{k}").alias(k) for k in _BEGINS))
     )
-    one = counted.groupBy("source", "field", "d").agg(F.count("*").alias("held"), F.sum("n").alias("n"), F.sum("good").alias("good"), F.coalesce(F.stddev_pop("n") / F.nullif(F.avg("n"), F.lit(0.0)), F.lit(0.0)).alias("spread"))
-    every = one.groupBy("d").agg(F.try_divide(F.sum("good"), F.sum("n")).alias("share"))
-    source = kinds.select("source", "field", "kind", "values", F.explode(F.array(*(F.lit(c) for c in candidates))).alias("d")).join(every, "d", "left")
-    same = F.col("source").eqNullSafe(F.col("_s")) & F.col("field").eqNullSafe(F.col("_f")) & (F.col("d") == F.col("_d"))
-    scored = source.join(_named(one).withColumnRenamed("d", "_d"), same, "left").select(
-        "source",
-        "field",
-        "kind",
-        "d",
-        F.round((F.coalesce("good", F.lit(0)) + lean * F.coalesce("share", F.lit(0.0))) / (F.coalesce("n", F.lit(0)) + lean) / (1 + 0.25 * F.coalesce("spread", F.lit(0.0))), 6).alias("score"),
-        (F.coalesce("held", F.lit(0)) / F.col("values")).alias("reach"),
+    each = counted.groupBy("source", "field").agg(
+        F.max_by(F.struct("held", *_BEGINS), F.col("d") == "").alias("all"), F.map_from_entries(F.collect_list(F.struct("d", F.struct("held", "n", "squares", *_BEGINS)))).alias("by")
     )
-    quoted = F.create_map(*(x for c in candidates for x in (F.lit(c), F.lit(re.escape(c) if c not in "\n\t" else {"\n": "\\n", "\t": "\\t"}[c]))))
+    most = F.greatest(*(F.col(f"all.{k}") for k in _BEGINS))
+    each = each.withColumn("kind", F.when(F.col("all.path") == most, "path").when(F.col("all.number") == most, "number").otherwise("text"))
+    rows = each.select("source", "field", "kind", F.col("all.held").alias("values"), "by", F.explode(F.array(*(F.lit(d) for d in candidates))).alias("d")).withColumn("c", F.element_at("by", F.col("d")))
+    good = F.when(F.col("kind") == "path", F.col("c.path")).when(F.col("kind") == "number", F.col("c.number")).otherwise(F.col("c.text"))
+    rows = rows.select("source", "field", "kind", "values", "d", F.coalesce("c.held", F.lit(0)).alias("held"), F.coalesce("c.n", F.lit(0)).alias("n"), F.coalesce("c.squares", F.lit(0)).alias("squares"), F.coalesce(good, F.lit(0)).alias("good"))
+    over = Window.partitionBy("d")  # a row per source and field
+    mean = F.col("n") / F.nullif(F.col("held"), F.lit(0))
+    spread = F.sqrt(F.greatest(F.col("squares") / F.nullif(F.col("held"), F.lit(0)) - mean * mean, F.lit(0.0))) / mean
+    everywhere = F.coalesce(F.try_divide(F.sum("good").over(over), F.sum("n").over(over)), F.lit(0.0))
+    regularity = F.coalesce(F.try_divide(F.col("good") + lean * everywhere, F.col("n") + lean), F.lit(0.0))
+    consistency = 1 / (1 + F.coalesce(spread, F.lit(0.0)))
+    scored = rows.select("source", "field", "kind", "d", (F.col("held") / F.col("values")).alias("reach"), F.round(F.pow(regularity, F.lit(0.75)) * F.pow(consistency, F.lit(0.25)), 6).alias("score"))
+    quoted = F.create_map(*(x for d in candidates for x in (F.lit(d), F.lit(_sign(d)))))
     profile = scored.groupBy("source", "field", "kind").agg(
         F.sort_array(F.collect_list(F.when(F.col("score") >= least_score, F.col("d")))).alias("delimiters"),
         F.max_by(F.when(F.col("reach") > 0, F.col("d")), F.struct(F.col("score") * F.col("reach"), "d")).alias("widest"),
@@ -92,23 +127,25 @@ def delimiter_profile(values: DataFrame, candidates: Sequence[str] = CANDIDATES,
     return profile.withColumn("cut", cut)
 
 
-def split_values(df: DataFrame, key: str, source: str, fields: Sequence[str], **inference) -> DataFrame:
+def split_values(df: DataFrame, key: str, source: str, fields: Sequence[str], most_sources: int = 20_000, **inference) -> DataFrame:
     """One row per record, field, position and value: record_id, field_name, pos (from 1), n_values, tag.
 
     Positions count the non-empty values; repeats are kept.  Null, empty and
     blank fields give no rows, a field with one value gives one.  Rows with a
     null key or source are split as any other; repeated keys are each split.
     """
+    few = df.select(F.col(f"`{source}`")).distinct().limit(most_sources + 1).count() <= most_sources
     packed = df.select(
         F.col(f"`{key}`").cast("string").alias("record_id"),
         F.col(f"`{source}`").cast("string").alias("source"),
         F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("value")) for f in fields))).alias("x"),
     ).select("record_id", "source", "x.field", "x.value")
     packed = packed.where("value is not null and value rlike '\\\\S'")
-    profile = _named(delimiter_profile(packed, **inference).select("source", "field", "cut"))
-    known = packed.join(profile, F.col("source").eqNullSafe(F.col("_s")) & F.col("field").eqNullSafe(F.col("_f")), "left")
-    pieces = F.when(F.col("cut").isNull(), F.array("value")).otherwise(F.split(F.col("value"), F.col("cut")))
-    values = known.select("record_id", "field", F.filter(F.transform(pieces, _clean), lambda p: p != "").alias("v"))
+    profile = delimiter_profile(packed, **inference).select(F.col("source").alias("_source"), F.col("field").alias("_field"), "delimiters", "cut")
+    known = packed.join(F.broadcast(profile) if few else profile, _same("source", "field"), "left")
+    value = F.regexp_replace("value", _STRAY, "")
+    pieces = F.when(F.col("cut").isNull(), F.array(value)).otherwise(F.split(value, F.col("cut")))
+    values = known.select("record_id", "field", F.filter(F.transform(pieces, lambda p: _clean(p, F.col("delimiters"))), lambda p: p != "").alias("v"))
     return values.select("record_id", F.col("field").alias("field_name"), F.size("v").alias("n_values"), F.posexplode("v").alias("pos", "tag")).select(
         "record_id", "field_name", (F.col("pos") + 1).cast("int").alias("pos"), "n_values", "tag"
     )

@@ -9,7 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import cards, joins, lexical, sampling, sequence
 from tessera.operators.current import current_rows
 from tessera.operators.fuzzy import blocked_best
-from tessera.operators.multivalue import split_values
+from tessera.operators.multivalue import delimiter_profile, split_values
 
 
 def rows(df):
@@ -213,3 +213,26 @@ def test_hold_keeps_a_close_choice_and_resets(spark):
     df = spark.createDataFrame(data, "e string, n int, id string, scores array<struct<tag string, score double>>, r boolean")
     got = [(r["id"], r["tag"], r["basis"]) for r in sticky_hold(df, "e", ["n"], "id", "scores", "r").orderBy("id").collect()]
     assert got == [("r1", "a", "best"), ("r2", "a", "held"), ("r3", "b", "best"), ("r4", "b", "carried"), ("r5", None, "reset"), ("r6", None, "none")]
+
+
+def test_profile_decides_which_signs_cut(spark):
+    """A sign cuts in the sources where pieces begin behind it, and belongs to the value in others."""
+    data = [(f"a{i}", "a", "Red, dark;Blue, light;Sky") for i in range(30)] + [(f"b{i}", "b", "Red;dark,Blue,Sky;pale") for i in range(30)]
+    rows_ = [(k, s, ",".join(f"X::{p.strip()}" for p in v.split(","))) if s == "b" else (k, s, ";".join(f"X::{p.replace(' ', '_')}" for p in v.split(";"))) for k, s, v in data]
+    df = spark.createDataFrame(rows_, "id string, source string, f string")
+    profile = {r["source"]: r for r in delimiter_profile(df.select("source", F.lit("f").alias("field"), F.col("f").alias("value")), lean=0.0).collect()}
+    assert (profile["a"]["delimiters"], profile["b"]["delimiters"]) == ([";"], [","])
+    got = {r["source"]: r["v"] for r in split_values(df, "id", "source", ["f"], lean=0.0).where("record_id in ('a0', 'b0')").groupBy(F.substring("record_id", 1, 1).alias("source")).agg(F.sort_array(F.collect_list("tag")).alias("v")).collect()}
+    assert got == {"a": ["X::Blue,_light", "X::Red,_dark", "X::Sky"], "b": ["X::Blue", "X::Red;dark", "X::Sky;pale"]}
+
+
+def test_uneven_cuts_lower_the_score(spark):
+    even = [("e", "f", "1;2;3")] * 20
+    uneven = [("u", "f", "1;2")] * 10 + [("u", "f", ";".join("1" * 12))] * 10
+    scores = {r["source"]: r["scores"][";"] for r in delimiter_profile(spark.createDataFrame(even + uneven, "source string, field string, value string")).collect()}
+    assert scores["e"] > scores["u"] > 0.5
+
+
+def test_split_values_joins_many_sources(spark):
+    df = spark.createDataFrame([(f"r{i}", f"s{i % 5}" if i % 6 else None, "A::B::C;A::B::D") for i in range(30)], "id string, source string, f string")
+    assert rows(split_values(df, "id", "source", ["f"], most_sources=2)) == rows(split_values(df, "id", "source", ["f"]))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.session import cut_lineage
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b) -> (id, component) of every linked id; component is the least id it reaches.
 
     Alternating large-star and small-star rounds: every node hangs its larger,
@@ -19,7 +19,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     edges = cut_lineage(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -30,6 +30,4 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

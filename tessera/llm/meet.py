@@ -48,7 +48,9 @@ def _meet(most: int):
             if tail:
                 yield from flush(mark[:tail], doc[:tail])
             mark, doc, hot = mark[tail:], doc[tail:], None
-            if len(np.unique(doc)) > most:
+            new = np.append(True, doc[1:] != doc[:-1])  # repeated rows once, however many there are
+            mark, doc = mark[new], doc[new]
+            if len(doc) > most:
                 hot = mark[0]
                 yield out(doc, [None] * len(doc), mark)
                 mark, doc = mark[:0], doc[:0]
@@ -70,11 +72,12 @@ def meet(marks: DataFrame, most: int) -> DataFrame:
     return ordered.mapInArrow(_meet(most), "a bigint, b bigint, mark bigint")
 
 
-def with_sides(pairs: DataFrame, rows: DataFrame, *payload: str) -> DataFrame:
-    """``pairs`` (a, b) with the ``payload`` columns of ``rows`` (id, ...) of both sides: doc_a, doc_b, then per column its a and b.
+def with_sides(pairs: DataFrame, rows: DataFrame, payload: str) -> DataFrame:
+    """``pairs`` (a, b) with the ``payload`` of ``rows`` (id, ...) of both sides: a, b, <payload>_a, <payload>_b.
 
-    ``rows`` moves once, whatever side its ids stand on; pairs lacking a side are kept with nulls.
+    ``rows`` moves once, one exchange serving both joins; of a pair's two
+    payloads only the first moves with it.  Pairs lacking a side are left out.
     """
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    wanted = [F.max(F.when(F.col("id") == F.col(side), F.col(c))).alias(f"{c}_{side}") for c in payload for side in "ab"]
-    return sides.join(rows.select("id", *payload), "id").groupBy(F.col("a").alias("doc_a"), F.col("b").alias("doc_b")).agg(*wanted)
+    one = rows.select("id", payload)
+    first = pairs.select("a", "b").join(one, F.col("a") == F.col("id")).select("a", "b", F.col(payload).alias(f"{payload}_a"))
+    return first.join(one, F.col("b") == F.col("id")).select("a", "b", f"{payload}_a", F.col(payload).alias(f"{payload}_b"))

@@ -8,9 +8,10 @@ posterior probability (uniform prior) that its similarity reaches the threshold
 falls below the chosen miss probability; the survivors' similarity is computed
 exactly.
 
-Scale.  Texts of equal words form one class and are represented once, so copies
-cost one aggregation with map-side combine.  What is shuffled is a band key and
-an id per band, then signatures of candidates, then texts of survivors.  A band
+Scale.  Texts of equal words form one class, named by a 64-bit hash of them
+that is checked to be theirs alone, so copies need no pass of their own and each
+task sends a class once.  What is shuffled is a band key and an id per band,
+then a byte per hash of the candidates, then the texts of survivors.  A band
 key of more than ``most`` classes gives no pairs; its classes are joined exactly
 instead, on the rarest of their features (prefix and length filter).
 """
@@ -98,18 +99,37 @@ def _sign(hashes: int):
         signer = _Signer(hashes)
         for batch in batches:
             if batch.num_rows:
-                short = [signer(t).astype("<u2").tobytes() for t in batch.column("words").to_pylist()]
+                short = [signer(t).astype("<u2").tobytes() for t in batch.column(batch.schema.get_field_index("words")).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(short, pa.binary())], names=[*batch.schema.names, "signature"])
 
     return run
 
 
+class _Once:
+    """Which rows hold an id not met before in this task, as far as ``most`` ids are kept in mind."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.seen: set[int] = set()
+        self.most = most
+
+    def __call__(self, ids: pa.Array) -> pa.Array:
+        if len(self.seen) > self.most:
+            self.seen.clear()
+        keep = []
+        for i, x in enumerate(ids.to_pylist()):
+            if x not in self.seen:
+                self.seen.add(x)
+                keep.append(i)
+        return pa.array(keep, pa.int64())
+
+
 def _bands(bands: int, rows: int):
-    """A key per band of a signature: id -> mark, doc_id."""
+    """A key per band of a signature: id, salt, signature -> mark, doc_id; copies within a task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = np.random.default_rng(5).integers(1, 1 << 63, rows, dtype=np.uint64) | np.uint64(1)
+        mixer, once = np.random.default_rng(5).integers(1, 1 << 63, rows, dtype=np.uint64) | np.uint64(1), _Once()
         for batch in batches:
+            batch = batch.take(once(batch.column(0)))
             if not batch.num_rows:
                 continue
             signatures = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(-1, bands, rows)
@@ -125,6 +145,24 @@ def _bands(bands: int, rows: int):
     return run
 
 
+def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The low byte of every hash: id, signature -> id, short."""
+    once = _Once()
+    for batch in batches:
+        batch = batch.take(once(batch.column(0)))
+        if batch.num_rows:
+            low = [x[::2] for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary())], names=["id", "short"])
+
+
+def _texts_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    once = _Once()
+    for batch in batches:
+        batch = batch.take(once(batch.column(0)))
+        if batch.num_rows:
+            yield batch
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     signer = _Signer(1)
     for batch in batches:
@@ -140,7 +178,7 @@ def _prune(limits: list[tuple[int, int]]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(batch.num_rows, -1) for i in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
             alive, matches, done = np.arange(len(a)), np.zeros(len(a), np.int64), 0
             for n, least in limits:
                 matches = matches + (a[alive, done:n] == b[alive, done:n]).sum(axis=1)
@@ -158,13 +196,15 @@ def _prune(limits: list[tuple[int, int]]):
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, known = [], {}
             for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                x, y = triples(x), triples(y)
+                x, y = (known[i] if i in known else known.setdefault(i, triples(t)) for i, t in ((a, x), (b, y)))
                 both = len(x & y)
                 either = len(x) + len(y) - both
                 if either and both >= threshold * either - 1e-9:
                     rows.append((a, b, both / either))
+                if len(known) > 2_000:
+                    known.clear()
             if rows:
                 a, b, s = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
@@ -174,7 +214,7 @@ def _verify(threshold: float):
 
 def _hot_pairs(classes: DataFrame, hot: DataFrame, threshold: float) -> DataFrame:
     """Pairs of hot classes that could reach the threshold: they share one of their rarest features."""
-    wide = classes.select("id", "words").join(hot, "id", "left_semi").mapInArrow(_features, "id bigint, n int, features array<bigint>")
+    wide = classes.join(hot, "id", "left_semi").mapInArrow(_features, "id bigint, n int, features array<bigint>")
     each = cut_lineage(wide.select("id", "n", F.explode("features").alias("feature")))
     common = each.groupBy("feature").agg(F.count("*").alias("df")).where("df > 1")
     ranked = each.join(common, "feature", "left").withColumn("df", F.coalesce("df", F.lit(1)))
@@ -186,6 +226,22 @@ def _hot_pairs(classes: DataFrame, hot: DataFrame, threshold: float) -> DataFram
     return x.join(y, "feature").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
+def class_id(*columns: str | Column) -> Column:
+    """The 64-bit name of a class of equal texts."""
+    return F.xxhash64(*columns)
+
+
+def _named_apart(said: DataFrame) -> DataFrame:
+    """``said`` with another id where two classes share one by chance (expected once in some 10**19 pairs)."""
+    for turn in range(1, 9):
+        shared = said.groupBy("id").agg(F.min(F.xxhash64("words", F.lit(turn))).alias("x"), F.max(F.xxhash64("words", F.lit(turn))).alias("y"), F.min("salt").alias("s"), F.max("salt").alias("t"))
+        shared = cut_lineage(shared.where("x <> y or s <> t").select(F.col("id").alias("shared")))
+        if shared.isEmpty():
+            return said
+        said = written_table(said.join(shared, F.col("id") == F.col("shared"), "left").withColumn("id", F.when(F.col("shared").isNull(), F.col("id")).otherwise(F.xxhash64("words", "salt", F.lit(-turn)))).drop("shared"))
+    raise RuntimeError("classes of texts could not be told apart")
+
+
 class NearDuplicates:
     """Records whose texts are alike.
 
@@ -198,24 +254,23 @@ class NearDuplicates:
     ids) and their exact similarity >= ``threshold``.
     """
 
-    def __init__(self, df: DataFrame, threshold: float = 0.7, least_words: int = 20, bands: int = 40, rows: int = 5, miss: float = 1e-5, batch: int = 32, most: int = 64):
-        said = df.select("tbl", "key", word_text(F.col("text")).alias("words")).where(F.size(F.split("words", " ")) >= least_words)
-        said = written_table(said.withColumn("mark", F.md5(F.concat_ws("\n", F.coalesce("tbl", F.lit("")), "words"))))
-        classes = said.groupBy("mark").agg(F.min("words").alias("words"), F.xxhash64(F.min("tbl")).alias("salt"))
-        # ids are numbers given by place: they are written once, and everything that refers to them reads what was written
-        classes = classes.select(F.monotonically_increasing_id().alias("id"), "mark", "salt", "words")
-        signed = written_table(classes.mapInArrow(_sign(bands * rows), "id bigint, mark string, salt bigint, words string, signature binary"))
-        marks = signed.select("id", "salt", "signature").mapInArrow(_bands(bands, rows), "mark bigint, doc_id bigint")
-        met = cut_lineage(meet(marks, most))
+    def __init__(self, df: DataFrame, threshold: float = 0.7, least_words: int = 20, bands: int = 28, rows: int = 4, miss: float = 1e-5, batch: int = 28, most: int = 64):
+        said = df.select("tbl", "key", word_text(F.col("text")).alias("words")).where(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) >= least_words - 1)
+        said = said.select("tbl", "key", class_id("tbl", "words").alias("id"), F.xxhash64("tbl").alias("salt"), "words")
+        said = _named_apart(written_table(said.mapInArrow(_sign(bands * rows), "tbl string, key string, id bigint, salt bigint, words string, signature binary")))
+        marks = said.select("id", "salt", "signature").mapInArrow(_bands(bands, rows), "mark bigint, doc_id bigint")
+        met = written_table(meet(marks, most))
         candidates = met.where("b is not null").select("a", "b").distinct()
-        pruned = with_sides(candidates, signed, "signature").mapInArrow(_prune(least_matches(threshold, miss, batch, bands * rows)), "a bigint, b bigint")
+        short = said.select("id", "signature").mapInArrow(_bytes_of, "id bigint, short binary").dropDuplicates(["id"])
+        pruned = with_sides(candidates, short, "short").mapInArrow(_prune(least_matches(threshold, miss, batch, bands * rows)), "a bigint, b bigint")
+        texts = said.select("id", "words").mapInArrow(_texts_once, "id bigint, words string").dropDuplicates(["id"])
         hot = met.where("b is null").select(F.col("a").alias("id")).distinct()
         if not hot.isEmpty():
-            salts = signed.select("id", "salt")
-            exact = _hot_pairs(signed, hot, threshold).join(salts.withColumnsRenamed({"id": "a", "salt": "sa"}), "a").join(salts.withColumnsRenamed({"id": "b", "salt": "sb"}), "b")
+            salts = said.select("id", "salt").distinct()
+            exact = _hot_pairs(texts, hot, threshold).join(salts.withColumnsRenamed({"id": "a", "salt": "sa"}), "a").join(salts.withColumnsRenamed({"id": "b", "salt": "sb"}), "b")
             pruned = pruned.unionByName(exact.where("sa = sb").select("a", "b")).distinct()
-        self.links = cut_lineage(with_sides(pruned, signed, "words").mapInArrow(_verify(threshold), "a bigint, b bigint, similarity double"))
-        self.members = said.select("tbl", "key", "mark").join(signed.select("mark", "id"), "mark").select("tbl", "key", "id")
+        self.links = cut_lineage(with_sides(pruned, texts, "words").mapInArrow(_verify(threshold), "a bigint, b bigint, similarity double"))
+        self.members = said.select("tbl", "key", "id")
 
     def pairs(self) -> DataFrame:
         """tbl, key_a < key_b of all pairs of records alike, copies expanded."""

@@ -82,3 +82,25 @@ def test_components_of_chains_hubs_and_loops(spark):
     want = {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {200: 200, 201: 200, 202: 200}
     assert got == want
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_classes_sharing_a_number_are_told_apart(spark, monkeypatch):
+    from tessera.llm import neardup
+
+    rows = families(3, n=5) + EDGES
+    monkeypatch.setattr(neardup, "class_id", lambda *c: F.pmod(F.xxhash64(*c), F.lit(4)))
+    found = NearDuplicates(spark.createDataFrame(rows, "tbl string, key string, text string")).pairs()
+    assert sorted(map(tuple, found.collect())) == plain_pairs(rows)
+
+
+def test_signature_bytes_and_limits_keep_likely_pairs():
+    import numpy as np
+
+    from tessera.llm.neardup import _Signer
+
+    sign, words = _Signer(112), [f"w{i}" for i in range(60)]
+    x = " ".join(words)
+    y = " ".join(words[:55])
+    same = (sign(x).astype(np.uint8) == sign(y).astype(np.uint8)).sum()
+    limits = least_matches(0.7, 1e-5, 28, 112)
+    assert [n for n, _ in limits] == [28, 56, 84, 112] and same >= limits[-1][1]

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm.grams import codes_of, gram_hashes, sliding_min
-from tessera.llm.spans import SharedSpans, factor
+from tessera.llm.spans import Block, SharedSpans
 
 
 def plain(docs, least):
@@ -23,13 +23,25 @@ def plain(docs, least):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text("ab", max_size=60), st.text("ab", max_size=60), st.integers(2, 9))
-def test_factors_cover_every_shared_stretch(text, reference, least):
-    found = factor(text, reference, least)
-    assert all(text[i : i + n] == reference[j : j + n] and n >= least for i, j, n in found)
-    spots = {k for i, _, n in found for k in range(i, i + n)}
-    want = {i + k for i in range(len(text) - least + 1) if text[i : i + least] in reference for k in range(least)}
-    assert spots == want
+@given(st.text("ab", max_size=60), st.lists(st.text("ab", max_size=40), min_size=1, max_size=4), st.integers(2, 9))
+def test_parse_finds_every_shared_stretch_of_a_block(text, references, least):
+    block = Block(list(enumerate(references)), least)
+    factors, spans = block.parse(99, text)
+    assert all(references[k][x : x + n] == text[y : y + n] and n >= least for k, x, y, n in spans)
+    for k, reference in enumerate(references):
+        spots = {p for d, _, y, n in spans if d == k for p in range(y, y + n)}
+        assert spots == {i + p for i in range(len(text) - least + 1) if text[i : i + least] in reference for p in range(least)}
+        spots = {p for d, x, _, n in spans if d == k for p in range(x, x + n)}
+        assert spots == {i + p for i in range(len(reference) - least + 1) if reference[i : i + least] in text for p in range(least)}
+    q = max(1, least // 2)
+    for at, n in factors:  # each factor is the longest match from its place
+        assert any(text[at : at + n] in r for r in references) and n >= q
+        assert at + n == len(text) or not any(text[at : at + n + 1] in r for r in references)
+    assert Block(list(enumerate(references)), least).parse(0, text) == ([], [])
+
+
+def test_parse_of_periodic_texts_ends():
+    assert len(Block([(1, "-" * 3000)], 200).parse(2, "-" * 3000)[1]) == 2 * 2800 + 1
 
 
 def test_gram_hashes_and_sliding_min():
@@ -85,3 +97,26 @@ def test_copies_and_empty_tables(spark):
 def test_repeated_ids_and_clashing_names(spark):
     df = spark.createDataFrame([(1, "q" * 300, 7), (1, "q" * 300, 8), (2, "q" * 250, 9)], "doc bigint, text string, doc_id int")
     assert sorted(map(tuple, SharedSpans(df, "doc", "text").pairs().collect())) == [(1, 2)]
+
+
+def test_stretches_sharing_a_hash_are_told_apart(spark, monkeypatch):
+    from tessera.llm import spans
+
+    docs = corpus(2)
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    monkeypatch.setattr(spans, "stretch_hashes", lambda codes, least: gram_hashes(codes, least).view(np.int64) % 3)
+    shared = SharedSpans(df, "doc_id", "text", least=40, most=2)
+    pairs, covered = plain(docs, 40)
+    assert sorted(map(tuple, shared.pairs().collect())) == pairs
+    assert {r["doc_id"]: r["shared_chars"] for r in shared.coverage(df, "doc_id", "text").collect()} == covered
+
+
+def test_small_blocks_give_the_same(spark):
+    docs = corpus(5)
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    pairs, covered = plain(docs, 40)
+    shared = SharedSpans(df, "doc_id", "text", least=40, block_docs=2, block_visits=3)
+    assert sorted(map(tuple, shared.pairs().collect())) == pairs
+    spans = shared.spans.collect()
+    assert len(spans) == len(set(map(tuple, spans)))
+    assert {r["doc_id"]: r["shared_chars"] for r in shared.coverage(df, "doc_id", "text").collect()} == covered

@@ -48,13 +48,13 @@ def _head(value: Column) -> Column:
 _AROUND = " \t\n\x0b\f\r\"'\\[]"
 
 
-#: Signs at either end of a field that blanks set off from its values.
-_STRAY = r"^\s*[;,|/&]+(?=\s)|(?<=\s)[;,|/&]+\s*$"
+#: Signs at either end of a field that belong to no value where blanks set them off.
+_STRAY = ";,|/&"
 
 
-def _clean(piece: Column, delimiters: Column) -> Column:
-    """A piece without surrounding blanks, quotes, brackets and delimiters of its source, doubled or escaped signs undone."""
-    bare = F.btrim(piece, F.concat(F.lit(_AROUND), F.array_join(F.coalesce(delimiters, F.array().cast("array<string>")), "")))
+def _clean(piece: Column, around: Column) -> Column:
+    """A piece without the signs around it, doubled or escaped ones within undone."""
+    bare = F.btrim(piece, around)
     bare = F.when(F.contains(bare, F.lit('""')), F.replace(bare, F.lit('""'), F.lit('"'))).otherwise(bare)
     return F.when(F.contains(bare, F.lit("\\")), F.regexp_replace(bare, r"\\(.)", "$1")).otherwise(bare)
 
@@ -65,16 +65,14 @@ def _sign(d: str) -> str:
 
 def _counts(value: Column, d: str) -> Column:
     """Of a value that holds ``d``: the pieces behind it, and those of them that begin as each type."""
-    skip = rf"[\s\"'\\\[\]&&[^{_sign(d)}]]*"
-    cut = rf"[^\s\"'\\\[\]{_sign(d)}]{skip}(?:{_sign(d)}{skip})+"
+    cut = rf"{_sign(d)}[\s\"'\\\[\]&&[^{_sign(d)}]]*"
     n = F.regexp_count(value, F.lit(rf"{cut}(?=[^\s\"'\\\[\]{_sign(d)}])"))
     path, number = (F.regexp_count(value, F.lit(f"{cut}(?={_BEGINS[k]})")) for k in ("path", "number"))
-    return F.when(F.contains(value, F.lit(d)), F.struct(F.lit(d).alias("d"), n.alias("n"), path.alias("path"), number.alias("number"), n.alias("text")))
+    return F.when(F.contains(value, F.lit(d)), F.struct(F.lit(d).alias("d"), n.alias("n"), path.alias("path"), number.alias("number")))
 
 
-def _heads(value: Column) -> Column:
-    head = _head(value)
-    return F.struct(F.lit("").alias("d"), F.lit(1).alias("n"), *((head == k).cast("int").alias(k) for k in _BEGINS))
+def _heads() -> Column:
+    return F.struct(F.lit("").alias("d"), F.lit(1).alias("n"), *((F.col("head") == k).cast("int").alias(k) for k in ("path", "number")))
 
 
 def _same(*columns: str) -> Column:
@@ -92,12 +90,14 @@ def delimiter_profile(values: DataFrame, candidates: Sequence[str] = CANDIDATES,
     values; equal counts: path before number before text.
     """
     said = values.where("value is not null and value rlike '\\\\S'")
-    marks = F.explode(F.filter(F.array(_heads(F.col("value")), *(_counts(F.col("value"), d) for d in candidates)), lambda x: x.isNotNull()))
+    marks = F.explode(F.array(_heads(), *(_counts(F.col("value"), d) for d in candidates)))
     counted = (
-        said.select("source", "field", marks.alias("m"))
+        said.withColumn("head", _head(F.col("value")))
+        .select("source", "field", marks.alias("m"))
         .where("m.n > 0")
         .groupBy("source", "field", "m.d")
-        .agg(F.count("*").alias("held"), F.sum("m.n").alias("n"), F.sum(F.col("m.n") * F.col("m.n")).alias("squares"), *(F.sum(f"m.{k}").alias(k) for k in _BEGINS))
+        .agg(F.count("*").alias("held"), F.sum("m.n").alias("n"), F.sum(F.col("m.n") * F.col("m.n")).alias("squares"), F.sum("m.path").alias("path"), F.sum("m.number").alias("number"))
+        .withColumn("text", F.when(F.col("d") == "", F.col("n") - F.col("path") - F.col("number")).otherwise(F.col("n")))
     )
     each = counted.groupBy("source", "field").agg(
         F.max_by(F.struct("held", *_BEGINS), F.col("d") == "").alias("all"), F.map_from_entries(F.collect_list(F.struct("d", F.struct("held", "n", "squares", *_BEGINS)))).alias("by")
@@ -122,30 +122,37 @@ def delimiter_profile(values: DataFrame, candidates: Sequence[str] = CANDIDATES,
     )
     profile = profile.withColumn("delimiters", F.when(F.col("kind") == "text", F.filter(F.array("widest"), lambda d: d.isNotNull())).otherwise(F.col("delimiters"))).drop("widest")
     signs = F.concat(F.lit("["), F.array_join(F.transform("delimiters", lambda d: F.element_at(quoted, d)), ""), F.lit("]"))
-    around = F.concat(F.lit(r"[\s\"'\\]*"), signs, F.lit(r"(?:[\s\"'\\\[\]]|"), signs, F.lit(")*"))
+    around = F.concat(signs, F.lit(r"[\s\"'\\\["), F.array_join(F.transform("delimiters", lambda d: F.element_at(quoted, d)), ""), F.lit(r"\]]*"))
     cut = F.when(F.size("delimiters") == 0, F.lit(None).cast("string")).when(F.col("kind") == "path", F.concat(around, F.lit("(?=" + _BEGINS["path"] + ")"))).otherwise(F.concat(signs, F.lit(r'(?=(?:[^"]*"[^"]*")*[^"]*$)')))
     return profile.withColumn("cut", cut)
 
 
-def split_values(df: DataFrame, key: str, source: str, fields: Sequence[str], most_sources: int = 20_000, **inference) -> DataFrame:
+def split_values(df: DataFrame, key: str, source: str, fields: Sequence[str], most_sources: int = 20_000, sources: DataFrame | None = None, **inference) -> DataFrame:
     """One row per record, field, position and value: record_id, field_name, pos (from 1), n_values, tag.
 
     Positions count the non-empty values; repeats are kept.  Null, empty and
     blank fields give no rows, a field with one value gives one.  Rows with a
     null key or source are split as any other; repeated keys are each split.
+    ``sources``, of one column that holds at least the sources of ``df``, spares
+    counting them in ``df`` where that costs more than a read.
     """
-    few = df.select(F.col(f"`{source}`")).distinct().limit(most_sources + 1).count() <= most_sources
+    few = (df.select(F.col(f"`{source}`")) if sources is None else sources).distinct().limit(most_sources + 1).count() <= most_sources
     packed = df.select(
         F.col(f"`{key}`").cast("string").alias("record_id"),
         F.col(f"`{source}`").cast("string").alias("source"),
         F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("value")) for f in fields))).alias("x"),
     ).select("record_id", "source", "x.field", "x.value")
     packed = packed.where("value is not null and value rlike '\\\\S'")
-    profile = delimiter_profile(packed, **inference).select(F.col("source").alias("_source"), F.col("field").alias("_field"), "delimiters", "cut")
+    profile = delimiter_profile(packed, **inference).select(F.col("source").alias("_source"), F.col("field").alias("_field"), F.concat(F.lit(_AROUND), F.array_join("delimiters", "")).alias("around"), "cut")
     known = packed.join(F.broadcast(profile) if few else profile, _same("source", "field"), "left")
-    value = F.regexp_replace("value", _STRAY, "")
-    pieces = F.when(F.col("cut").isNull(), F.array(value)).otherwise(F.split(value, F.col("cut")))
-    values = known.select("record_id", "field", F.filter(F.transform(pieces, lambda p: _clean(p, F.col("delimiters"))), lambda p: p != "").alias("v"))
+    ends = F.btrim("value")
+    stray = F.substring(ends, 1, 1).isin(*_STRAY) | F.substring(ends, -1, 1).isin(*_STRAY)
+    value = F.when(stray, F.regexp_replace("value", rf"^\s*[{_STRAY}]+(?=\s)|(?<=\s)[{_STRAY}]+\s*$", "")).otherwise(F.col("value"))
+    known = known.select("record_id", "field", value.alias("value"), "cut", F.coalesce("around", F.lit(_AROUND)).alias("around"))
+    # replacing keeps its compiled pattern from row to row, splitting by a pattern does not
+    marked = F.split(F.regexp_replace("value", F.col("cut"), F.lit("\x1e")), "\x1e")
+    pieces = F.when(F.col("cut").isNull(), F.array("value")).when(F.contains("value", F.lit("\x1e")), F.split("value", F.col("cut"))).otherwise(marked)
+    values = known.select("record_id", "field", F.filter(F.transform(pieces, lambda p: _clean(p, F.col("around"))), lambda p: p != "").alias("v"))
     return values.select("record_id", F.col("field").alias("field_name"), F.size("v").alias("n_values"), F.posexplode("v").alias("pos", "tag")).select(
         "record_id", "field_name", (F.col("pos") + 1).cast("int").alias("pos"), "n_values", "tag"
     )

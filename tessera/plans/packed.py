@@ -18,7 +18,7 @@ def _rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_values(spark: SparkSession, sf: str) -> DataFrame:
     """One row per record, field, position and tag."""
-    return split_values(_rows(spark, sf), "record_id", "source", FIELDS)
+    return split_values(_rows(spark, sf), "record_id", "source", FIELDS, sources=read_table(spark, sf, "curriculum_records").select("source"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm.runs import collapse_runs, edits_within
+from tessera.llm.runs import agglomerate, collapse_runs, edits_within
 
 
 def distance(a, b):
@@ -82,3 +83,52 @@ def test_null_start_is_a_run_of_its_own_and_empty_tables_pass(spark):
 def test_clashing_column_names(spark):
     df = spark.createDataFrame([("p", "a", 1.0, 2.0, "x", 9)], "key string, entity string, place double, start double, run string, `end` int")
     assert collapse_runs(df, "key", "entity", "place", "start", "run").first()["n_items"] == 1
+
+
+def plain_typical(keys, starts, ends, gap, edits):
+    """Merge the best link first, every similarity worked out anew; as first places."""
+    runs = [[i] for i in range(len(keys))]
+
+    def usual(run):
+        return min({keys[i] for i in run}, key=lambda t: (-sum(keys[i] == t for i in run), next(i for i in run if keys[i] == t)))
+
+    while True:
+        best = None
+        for k in range(len(runs) - 1):
+            a, b, x, y = usual(runs[k]), usual(runs[k + 1]), runs[k][-1], runs[k + 1][0]
+            if a and b and starts[y] - ends[x] <= gap + 1e-6 and (d := distance(a, b)) <= edits:
+                best = min(best or (9, 9, 9, 9), (-1 + d / max(len(a), len(b)), starts[y] - ends[x], x, k))
+        if best is None:
+            return [r[0] for r in runs]
+        k = best[3]
+        runs[k : k + 2] = [runs[k] + runs[k + 1]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["aaaa", "aaab", "aabb", "abbb", "bbbb", ""]), st.integers(1, 30)), min_size=1, max_size=14))
+def test_typical_linkage_against_merging_one_by_one(events):
+    starts = np.cumsum([g for _, g in events]).astype(float)
+    keys = [k for k, _ in events]
+    assert agglomerate(keys, starts, starts.copy(), 20.0, 1, "typical").tolist() == plain_typical(keys, starts, starts, 20.0, 1)
+
+
+def test_the_order_of_merges_matters_under_typical_linkage(spark):
+    rows = [("p", f"s{i}", float(at), None, t) for i, (at, t) in enumerate([(0, "aaaa"), (5, "aaab"), (6, "aaab"), (11, "aabb"), (16, "aabb"), (30, "abbb")])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    touching = {(r["first_item"], r["last_item"]) for r in collapse_runs(df, "entity", "tag_id", "s", "t", "tag").collect()}
+    typical = {(r["first_item"], r["last_item"]) for r in collapse_runs(df, "entity", "tag_id", "s", "t", "tag", linkage="typical").collect()}
+    assert touching == {("s0", "s5")} and typical != touching
+    got = agglomerate([r[4] for r in rows], np.array([r[2] for r in rows]), np.array([r[2] for r in rows]), 20.0, 1, "typical").tolist()
+    assert sorted(int(a[1:]) for a, _ in typical) == got == plain_typical([r[4] for r in rows], [r[2] for r in rows], [r[2] for r in rows], 20.0, 1)
+
+
+def test_typical_linkage_whatever_the_batches(spark):
+    rows = [r for r in data(4, 500)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    whole = sorted(map(repr, collapse_runs(df, "entity", "tag_id", "s", "t", "tag", linkage="typical").collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(repr, collapse_runs(df, "entity", "tag_id", "s", "t", "tag", linkage="typical").collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(r["n_items"] for r in collapse_runs(df, "entity", "tag_id", "s", "t", "tag", linkage="typical").collect()) == len(rows)

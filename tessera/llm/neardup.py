@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,47 +61,62 @@ def least_matches(threshold: float, miss: float, batch: int, total: int) -> list
 
 
 class _Signer:
-    """Minhash signatures of word texts."""
+    """Features and minhash signatures of word texts, a batch at a time."""
 
     def __init__(self, hashes: int, seed: int = 11):
         rng = np.random.default_rng(seed)
-        self.a = rng.integers(1, 1 << 63, hashes, dtype=np.uint64)[:, None] | np.uint64(1)
-        self.b = rng.integers(0, 1 << 63, hashes, dtype=np.uint64)[:, None]
-        self.words: dict[str, int] = {}
+        self.a = rng.integers(1, 1 << 32, hashes, dtype=np.uint32)[:, None] | np.uint32(1)
+        self.b = rng.integers(0, 1 << 32, hashes, dtype=np.uint32)[:, None]
 
-    def features(self, text: str) -> np.ndarray:
+    def features(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the triples of all texts in a row, how many each text has); repeats within a text stay."""
         import xxhash
 
-        if len(self.words) > 500_000:
-            self.words.clear()
-        known, codes = self.words, []
-        for w in text.split(" "):
-            c = known.get(w)
-            if c is None:
-                c = known[w] = xxhash.xxh3_64_intdigest(w)
-            codes.append(c)
-        c = np.array(codes, np.uint64)
+        split = pc.split_pattern(texts, " ")
+        sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = split.flatten().dictionary_encode()
+        table = np.array([xxhash.xxh3_64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
+        c = table[words.indices.to_numpy(zero_copy_only=False)]
         h = c[:-2] * _M1 + c[1:-1] * _M2 + c[2:] * _M3
         h ^= h >> np.uint64(32)
         h *= _M2
         h ^= h >> np.uint64(29)
-        return np.unique(h)
-
-    def __call__(self, text: str) -> np.ndarray:
-        h = self.features(text)
-        low = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
-        for i in range(0, len(h), 4096):  # whole texts, in strips that fit the cache
-            np.minimum(low, (self.a * h[i : i + 4096] + self.b).min(axis=1), out=low)
-        return (low >> np.uint64(32)).astype(np.uint32)
-
-
-def _sign(hashes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside = np.ones(len(c), bool)  # no triple across two texts
+        ends = np.cumsum(sizes)
+        for back in (1, 2):
+            inside[ends[sizes >= back] - back] = False
+        return h[inside[: len(h)]], np.maximum(sizes - 2, 0)
+
+    def __call__(self, texts: pa.Array, strip: int = 8192) -> np.ndarray:
+        """A row of 16-bit hashes per text."""
+        h, sizes = self.features(texts)
+        h = (h >> np.uint64(32)).astype(np.uint32)
+        low = np.full((len(texts), len(self.a)), np.iinfo(np.uint32).max, np.uint32)
+        ends = np.cumsum(sizes)
+        some = np.flatnonzero(sizes)
+        at = 0
+        while at < len(some):  # whole texts, in strips that fit the cache
+            start = int(ends[some[at]] - sizes[some[at]])
+            to = max(at + 1, int(np.searchsorted(ends[some], start + strip, "right")))
+            rows, stop = some[at:to], int(ends[some[to - 1]])
+            if to == at + 1:
+                for i in range(start, stop, strip):
+                    np.minimum(low[rows[0]], (self.a * h[i : min(i + strip, stop)] + self.b).min(axis=1), out=low[rows[0]])
+            else:
+                low[rows] = np.minimum.reduceat(self.a * h[start:stop] + self.b, ends[rows] - sizes[rows] - start, axis=1).T
+            at = to
+        return low.astype("<u2")
+
+
+def _signature(hashes: int, least_words: int):
+    """Words -> their signature, two bytes a hash; null for texts of fewer words."""
+
+    @F.arrow_udf("binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         signer = _Signer(hashes)
-        for batch in batches:
-            if batch.num_rows:
-                short = [signer(t).astype("<u2").tobytes() for t in batch.column(batch.schema.get_field_index("words")).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(short, pa.binary())], names=[*batch.schema.names, "signature"])
+        for texts in batches:
+            enough = pc.fill_null(pc.greater_equal(pc.count_substring(texts, " "), least_words - 1), False).to_pylist()
+            yield pa.array([row.tobytes() if e else None for row, e in zip(signer(texts), enough, strict=True)], pa.binary())
 
     return run
 
@@ -167,10 +183,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     signer = _Signer(1)
     for batch in batches:
         if batch.num_rows:
-            found = [signer.features(t).view(np.int64) for t in batch.column("words").to_pylist()]
+            h, sizes = signer.features(batch.column(batch.schema.get_field_index("words")))
+            found = [np.unique(x).view(np.int64) for x in np.split(h, np.cumsum(sizes)[:-1])]
             sizes = np.array([len(f) for f in found], np.int32)
             ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))], names=["id", "n", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))], names=["id", "n", "features"])
 
 
 def _prune(limits: list[tuple[int, int]]):
@@ -255,9 +272,8 @@ class NearDuplicates:
     """
 
     def __init__(self, df: DataFrame, threshold: float = 0.7, least_words: int = 20, bands: int = 28, rows: int = 4, miss: float = 1e-5, batch: int = 28, most: int = 64):
-        said = df.select("tbl", "key", word_text(F.col("text")).alias("words")).where(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) >= least_words - 1)
-        said = said.select("tbl", "key", class_id("tbl", "words").alias("id"), F.xxhash64("tbl").alias("salt"), "words")
-        said = _named_apart(written_table(said.mapInArrow(_sign(bands * rows), "tbl string, key string, id bigint, salt bigint, words string, signature binary")))
+        said = df.select("tbl", "key", word_text(F.col("text")).alias("words")).withColumn("signature", _signature(bands * rows, least_words)("words")).where("signature is not null")
+        said = _named_apart(written_table(said.select("tbl", "key", class_id("tbl", "words").alias("id"), F.xxhash64("tbl").alias("salt"), "words", "signature")))
         marks = said.select("id", "salt", "signature").mapInArrow(_bands(bands, rows), "mark bigint, doc_id bigint")
         met = written_table(meet(marks, most))
         candidates = met.where("b is not null").select("a", "b").distinct()

@@ -95,12 +95,16 @@ def test_classes_sharing_a_number_are_told_apart(spark, monkeypatch):
 
 def test_signature_bytes_and_limits_keep_likely_pairs():
     import numpy as np
+    import pyarrow as pa
 
     from tessera.llm.neardup import _Signer
 
-    sign, words = _Signer(112), [f"w{i}" for i in range(60)]
-    x = " ".join(words)
-    y = " ".join(words[:55])
-    same = (sign(x).astype(np.uint8) == sign(y).astype(np.uint8)).sum()
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[:55]), "one two", None, "", "a b c", " ".join(words * 400)]
+    rows = _Signer(112)(pa.array(texts))
+    alone = [_Signer(112)(pa.array([t], pa.string())) for t in texts]
+    assert all((r == a[0]).all() for r, a in zip(rows, alone))
+    assert (_Signer(112)(pa.array(texts), strip=7) == rows).all()
+    same = (rows[0].astype(np.uint8) == rows[1].astype(np.uint8)).sum()
     limits = least_matches(0.7, 1e-5, 28, 112)
     assert [n for n, _ in limits] == [28, 56, 84, 112] and same >= limits[-1][1]

@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOPWORDS = ("a", "an", "and", "by", "for", "in", "is", "of", "on", "or", "the", "to", "was", "were", "with")
+#: Words no search looks for.
+STOPWORDS = ("the", "and", "or", "of", "in", "to", "for", "with", "a", "an", "on", "by", "from", "is", "are", "as")
 
 
 def present(value: Column) -> Column:

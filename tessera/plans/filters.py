@@ -14,7 +14,8 @@ from tessera.sources.tables import read_table
 register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
 
-_FORBIDDEN = ("Gastritis", "Atypia", "::Nipple::", "unmapped")
+#: What no tag may hold.
+_FORBIDDEN = ("::Lectures::", "::Textbooks::", "::Error", "Slide_", "Page_", "Digital_Pathology_Slide", "Pathology_Slide", "rejected_generated")
 
 
 @register("FLT-01", "SELECT record_id, ingested_at, primary_tag FROM records WHERE primary_tag IS NOT NULL AND NOT (" + " OR ".join(f"contains(primary_tag, '{p}')" for p in _FORBIDDEN) + ")")
@@ -23,7 +24,8 @@ def forbidden(spark, sf):
     return read_table(spark, sf, "records").where(F.col("primary_tag").isNotNull() & ~hit).select("record_id", "ingested_at", "primary_tag")
 
 
-_HIDDEN = ("", "none", "null", "unmapped", "unknown unknown", "misc", "tbd", "x", "???", "__unmapped__")
+#: What stands for no tag.
+_HIDDEN = ("", "none", "null", "__unmapped__", "unmapped", "rejected", "rejected_generated", "excluded_junk", "hidden", "unmapped_no_context")
 
 
 @register("FLT-02", f"SELECT lower(trim(coalesce(primary_tag, ''))) IN {_HIDDEN} AS hidden, count(*) AS n FROM records GROUP BY 1")

@@ -19,25 +19,29 @@ QUESTION = "brisk mitotic activity of the granuloma"
 TERMS = query_terms(QUESTION, T.STOPWORDS)
 
 
-def _bm25_sql(extra: str = "") -> str:
-    counts = ", ".join(f"len(list_filter(t, lambda x: x = '{t}')) AS f{i}" for i, t in enumerate(TERMS))
-    sums = ", ".join(f"sum((f{i} > 0)::INT) AS d{i}" for i in range(len(TERMS)))
-    score = " + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * l / a))" for i in range(len(TERMS)))
-    hits = " + ".join(f"(f{i} > 0)::INT" for i in range(len(TERMS)))
+def bm25_sql(terms=TERMS, extra: str = "") -> str:
+    counts = ", ".join(f"len(list_filter(t, lambda x: x = '{t}')) AS f{i}" for i, t in enumerate(terms))
+    sums = ", ".join(f"sum((f{i} > 0)::INT) AS d{i}" for i in range(len(terms)))
+    score = " + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * l / a))" for i in range(len(terms)))
+    hits = " + ".join(f"(f{i} > 0)::INT" for i in range(len(terms)))
     return f"""w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '') AS t FROM documents),
       s AS (SELECT doc_id, len(t) AS l, {counts} FROM w), c AS (SELECT count(*) AS n, avg(l) AS a, {sums} FROM s),
       b AS (SELECT doc_id, ({hits})::INT AS n_terms, round({score}, 6) AS score FROM s CROSS JOIN c WHERE {hits} > 0){extra}"""
 
 
-@register("RNK-02", f"WITH {_bm25_sql()} SELECT * FROM b")
+def lexical_rank_sql(terms, k: int) -> str:
+    return f", x AS (SELECT doc_id, CASE WHEN n_terms = {len(terms)} THEN 1 ELSE 2 END AS tier, score FROM b), lex AS (SELECT *, row_number() OVER (ORDER BY tier, score DESC, doc_id)::INT AS rank FROM x QUALIFY rank <= {k})"
+
+
+@register("RNK-02", f"WITH {bm25_sql()} SELECT * FROM b")
 def lexical(spark, sf):
     return bm25(read_table(spark, sf, "documents"), "doc_id", "text", TERMS)
 
 
-_LEX = f", x AS (SELECT doc_id, CASE WHEN n_terms = {len(TERMS)} THEN 1 ELSE 2 END AS tier, score FROM b), lex AS (SELECT *, row_number() OVER (ORDER BY tier, score DESC, doc_id)::INT AS rank FROM x QUALIFY rank <= 25)"
+_LEX = lexical_rank_sql(TERMS, 25)
 
 
-@register("TOP-01", f"WITH {_bm25_sql(_LEX)} SELECT * FROM lex")
+@register("TOP-01", f"WITH {bm25_sql(TERMS, _LEX)} SELECT * FROM lex")
 def lexical_top(spark, sf):
     return tiered_search(read_table(spark, sf, "documents"), "doc_id", "text", TERMS, 25)
 
@@ -69,7 +73,7 @@ _SPOTS = "[" + ", ".join(f"strpos(lower(text), '{t}')" for t in TERMS) + "]"
 
 @register(
     "RNK-01",
-    f"""WITH {_bm25_sql(_LEX)}, {_VEC},
+    f"""WITH {bm25_sql(TERMS, _LEX)}, {_VEC},
        f AS (SELECT doc_id, lex.rank AS a_rank, vr.rank AS b_rank, CASE WHEN lex.rank IS NOT NULL AND vr.rank IS NOT NULL THEN 'hybrid' WHEN lex.rank IS NULL THEN 'vector_only' ELSE 'lexical_only' END AS mode,
                round(coalesce(1.0 / (60 + lex.rank), 0) + coalesce(1.0 / (60 + vr.rank), 0) + CASE WHEN lex.rank IS NOT NULL AND vr.rank IS NOT NULL THEN 0.005 ELSE 0 END, 6) AS fusion FROM lex FULL JOIN vr USING (doc_id)),
        t AS (SELECT * FROM f ORDER BY fusion DESC, a_rank NULLS LAST, b_rank NULLS LAST, doc_id LIMIT 10),
@@ -124,18 +128,6 @@ def relevance(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", F.round(F.when(F.col("text").isNotNull(), hits / F.lit(float(len(TERMS)))), 6).alias("relevance"))
 
 
-@register("QRY-02", "SELECT entity_id, CASE WHEN abbreviation IS NULL THEN entity_name ELSE entity_name || ' OR ' || abbreviation END AS query FROM canonical_entities")
-def expansion(spark, sf):
-    return read_table(spark, sf, "canonical_entities").select("entity_id", F.concat("entity_name", F.coalesce(F.concat(F.lit(" OR "), "abbreviation"), F.lit(""))).alias("query"))
-
-
-@register("QRY-03", "WITH h AS (SELECT unnest(['liver', 'colon', 'nipple', 'marrow']) AS term, unnest(['GI', 'GI', 'Breast', 'Heme']) AS root), w AS (SELECT doc_id, unnest(list_distinct(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' '))) AS term FROM documents) SELECT doc_id, string_agg(DISTINCT root, ',' ORDER BY root) AS roots FROM w JOIN h USING (term) GROUP BY doc_id")
-def roots(spark, sf):
-    hints = F.create_map(*(F.lit(x) for x in ("liver", "GI", "colon", "GI", "nipple", "Breast", "marrow", "Heme")))
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(T.tokens(F.col("title")), lambda t: F.try_element_at(hints, t)), lambda r: r.isNotNull())))
-    return read_table(spark, sf, "documents").select("doc_id", F.array_join(found, ",").alias("roots")).where("roots <> ''")
-
-
 @register("QRY-12", "SELECT tag_id, lower(replace(array_to_string(list_slice(string_split(primary_tag, '::'), -2, -1), ' '), '_', ' ')) AS query FROM canonical_tags")
 def suggested(spark, sf):
     last = F.slice(F.split("primary_tag", "::"), -2, 2)

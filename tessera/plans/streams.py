@@ -16,7 +16,7 @@ register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
 
 
-def _place(spark) -> str:
+def work_folder(spark) -> str:
     """A new folder within the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
@@ -25,7 +25,7 @@ def _place(spark) -> str:
 @register("STR-01", "SELECT event_type, date_trunc('day', ts)::DATE AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling(spark, sf):
     counts = E.window_counts(E.event_stream(spark, f"{sf}/events.parquet"))
-    out = E.run_to_table(counts, f"w_{uuid.uuid4().hex}", "complete", _place(spark))
+    out = E.run_to_table(counts, f"w_{uuid.uuid4().hex}", "complete", work_folder(spark))
     return out.select("event_type", F.col("start").cast("date").alias("day"), "n", "total")
 
 
@@ -37,7 +37,7 @@ def tumbling(spark, sf):
 )
 def stream_sessions(spark, sf):
     counts = E.session_counts(E.event_stream(spark, f"{sf}/events.parquet"))
-    out = E.run_to_table(counts, f"s_{uuid.uuid4().hex}", "complete", _place(spark))
+    out = E.run_to_table(counts, f"s_{uuid.uuid4().hex}", "complete", work_folder(spark))
     return out.select("user_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "n")
 
 
@@ -49,26 +49,26 @@ def stream_sessions(spark, sf):
 )
 def stream_carried(spark, sf):
     state = E.carried_forward(E.event_stream(spark, f"{sf}/events.parquet"), "purchase", 3)
-    out = E.run_to_table(state, f"c_{uuid.uuid4().hex}", "update", _place(spark))
+    out = E.run_to_table(state, f"c_{uuid.uuid4().hex}", "update", work_folder(spark))
     return out.groupBy("user_id").agg(F.max("carried").alias("carried"), F.max("plain").alias("plain"))
 
 
 @register("STR-06", "SELECT count(DISTINCT user_id) AS users FROM events")
 def stream_first_seen(spark, sf):
     seen = E.first_seen(E.event_stream(spark, f"{sf}/events.parquet"), "user_id", "365 days").select("user_id")
-    return E.run_to_table(seen, f"f_{uuid.uuid4().hex}", "append", _place(spark)).agg(F.countDistinct("user_id").alias("users"))
+    return E.run_to_table(seen, f"f_{uuid.uuid4().hex}", "append", work_folder(spark)).agg(F.countDistinct("user_id").alias("users"))
 
 
 @register("SRC-01", "SELECT r_regionkey, r_name FROM region")
 def jsonl_round_trip(spark, sf):
-    path = _place(spark)
+    path = work_folder(spark)
     sinks.write_jsonl(read_table(spark, sf, "region"), path, sort_keys=True, gzip=True)
     return readers.jsonl_tolerant(spark, path, "r_regionkey int, r_name string")
 
 
 @register("SRC-06", "SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
 def csv_round_trip(spark, sf):
-    path = _place(spark)
+    path = work_folder(spark)
     sinks.write_csv(read_table(spark, sf, "nation"), path, ["n_name"])
     return readers.csv_rows(spark, path)
 
@@ -80,6 +80,6 @@ def sniffed(spark, sf):
 
 @register("SNK-03", "SELECT tag_root, count(*) AS n FROM canonical_tags GROUP BY 1")
 def checked_table(spark, sf):
-    path = _place(spark)
+    path = work_folder(spark)
     sinks.write_checked(read_table(spark, sf, "canonical_tags"), path, ["tag_root"])
     return spark.read.parquet(path).groupBy("tag_root").agg(F.count("*").alias("n"))

@@ -159,3 +159,65 @@ def image_sizes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
             yield pd.DataFrame({"path": frame["path"], "width": pd.array([s[0] for s in sizes], "Int32"), "height": pd.array([s[1] for s in sizes], "Int32")})
 
     return _binary(spark, path, pattern).mapInPandas(run, "path string, width int, height int")
+
+
+def open_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table that must be there already; a missing one is named in the error."""
+    from tessera.sources.sinks import exists
+
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no table at {path}")
+    return spark.read.parquet(path)
+
+
+def literal_arrays(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Path and entry of the quoted strings within every ``name: [...]`` of source files."""
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    lists = F.explode(F.regexp_extract_all("value", F.lit(rf"\b{re.escape(name)}\s*:\s*\[([^\]]*)\]"), F.lit(1)))
+    entry = F.explode(F.regexp_extract_all("l", F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)))
+    return whole.select("path", lists.alias("l")).select("path", entry.alias("entry")).select("path", F.regexp_replace("entry", r"\\(.)", "$1").alias("entry"))
+
+
+def tabbed_sections(spark: SparkSession, path: str, headers: Sequence[str]) -> DataFrame:
+    """Path, section, text, url and volume of dumped worksheets: a line without tabs opens a section, header and blank lines are passed over."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    cells = F.split("value", "\t")
+    order = Window.partitionBy("path").orderBy("_b", "_i").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.where(F.trim("value") != "").withColumn("section", F.last(F.when(F.size(cells) == 1, F.trim("value")), ignorenulls=True).over(order))
+    first = F.trim(cells[0])
+    rows = marked.where((F.size(cells) > 1) & ~F.lower(first).isin(*(h.lower() for h in headers)))
+    return rows.select("path", "section", first.alias("text"), F.nullif(F.trim(F.try_element_at(cells, F.lit(2))), F.lit("")).alias("url"), F.nullif(F.trim(F.try_element_at(cells, F.lit(3))), F.lit("")).alias("volume"))
+
+
+_PACKAGE = "package_id string, title string, segments array<struct<segment_id:string,start_sec:double,end_sec:double,text:string>>"
+
+
+def packages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Transcript packages, one JSON object a file: (rows of their segments, a row per package with what is wrong with it).
+
+    A package without id or segments, with a segment that ends before it starts,
+    or with segments out of order is faulty; its segments are left out.
+    """
+    read = spark.read.schema(_PACKAGE).option("multiLine", True).json(path).withColumn("path", F.col("_metadata.file_path"))
+    each = F.col("segments")
+    starts = F.transform(each, lambda s: s["start_sec"])
+    fault = (
+        F.when(F.col("package_id").isNull(), "no id")
+        .when(F.coalesce(F.size(each), F.lit(0)) <= 0, "no segments")
+        .when(F.exists(each, lambda s: s["end_sec"] < s["start_sec"]), "ends before start")
+        .when(starts != F.array_sort(starts), "out of order")
+    )
+    checked = read.withColumn("fault", fault)
+    rows = checked.where("fault is null").select("package_id", F.posexplode("segments").alias("place", "s")).select("package_id", "place", "s.*")
+    return rows, checked.select("path", "package_id", "title", F.coalesce(F.size(each), F.lit(0)).alias("segments"), "fault")
+
+
+def load_vectors(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Entries with their vectors, as :func:`tessera.sources.sinks.write_vectors` left them; counts must agree with the manifest."""
+    import json
+
+    manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+    entries, vectors = open_table(spark, f"{path}/entries"), open_table(spark, f"{path}/vectors")
+    if not entries.count() == vectors.count() == manifest["rows"]:
+        raise RuntimeError(f"entries and vectors at {path} do not agree with the manifest")
+    return entries.join(vectors, key)

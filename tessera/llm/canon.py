@@ -188,7 +188,7 @@ def _match_shuffled(typed: DataFrame, known: DataFrame, threshold: float) -> Dat
     return near.mapInArrow(_choose, "value string, canon_id int, similarity double").where("canon_id is not null")
 
 
-def match_values(values: DataFrame, entries: DataFrame, threshold: float = 0.3, most_entries: int = 20_000) -> DataFrame:
+def match_values(values: DataFrame, entries: DataFrame, threshold: float = 0.3, most_entries: int = 20_000, task_values: int = 2_000) -> DataFrame:
     """``values`` (value) -> distinct value, canon_id, similarity; -1 and null where no entry is meant.
 
     ``entries``: id int, name, alias (or null), core (the part of the name whose
@@ -201,6 +201,8 @@ def match_values(values: DataFrame, entries: DataFrame, threshold: float = 0.3,
     typed = said.select("value", words_of(F.col("value")).alias("words"))
     some = known.select("id", "words", "core").limit(most_entries + 1).collect()
     if len(some) <= most_entries:
+        # few bytes but much work a value: as many tasks as the number of values asks for, not as their bytes do
+        typed = typed.repartition(max(1, -(-said.count() // task_values)))
         matched = _match_here(typed, [(r["id"], r["words"], r["core"]) for r in some], threshold)
     else:
         matched = _match_shuffled(typed, known, threshold)

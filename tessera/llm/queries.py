@@ -53,7 +53,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 # --- 3: canonical lists
 
 
-def _mapped(spark: SparkSession, sf: str) -> list[DataFrame]:
+def _mapped(spark: SparkSession, sf: str, **how) -> list[DataFrame]:
     """Per table tbl, record_id, value, name (of the entry it equals), canon_id and similarity of the current rows with a value."""
     tags, entities = read_table(spark, sf, "canonical_tags"), read_table(spark, sf, "canonical_entities")
     lists = {
@@ -63,7 +63,7 @@ def _mapped(spark: SparkSession, sf: str) -> list[DataFrame]:
     out = []
     for table, (column, entries) in lists.items():
         rows = cut_lineage(current_rows(read_table(spark, sf, table), "record_id", [column]).select("record_id", F.col(column).alias("value")))
-        found = match_values(rows, entries).join(entries.select("name").distinct(), F.col("value") == F.col("name"), "left")
+        found = match_values(rows, entries, **how).join(entries.select("name").distinct(), F.col("value") == F.col("name"), "left")
         out.append(rows.join(found, "value").select(F.lit(table).alias("tbl"), "record_id", "value", "name", "canon_id", "similarity"))
     return out
 
@@ -79,6 +79,12 @@ def p3_mapped(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b).drop("name")
 
 
+def p3_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """As p3_mapped, by the shuffled prefix join that lists beyond any task's memory take."""
+    a, b = _mapped(spark, sf, most_entries=0)
+    return a.unionByName(b).drop("name")
+
+
 def p3_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     """Values that match no entry, with their number of records."""
     a, b = _mapped(spark, sf)
@@ -161,6 +167,7 @@ QUERIES = {
     "p2_runs": p2_runs,
     "p3_found": p3_found,
     "p3_mapped": p3_mapped,
+    "p3_joined": p3_joined,
     "p3_unmatched": p3_unmatched,
     "p5_found": p5_found,
     "p5_pieces": p5_pieces,

@@ -5,10 +5,12 @@ Trigrams are ordered by global rarity; two sets of Jaccard similarity >= t must
 share one of their rarest few (the prefix), have lengths within a factor t, and
 leave room after the shared place (positional filter).  Only such pairs are
 joined; their Jaccard similarity is computed exactly and the best is kept.  An
-entry stands only if each word of its core (what tells it from its neighbours)
-is found among the value's words but for a few letters, so that a value naming
-another thing of the same place matches nothing.  A value that is an entry's
-alias but for case and punctuation is that entry.
+entry stands if each word of its core (what tells it from its neighbours) is
+found among the value's words but for a few letters, so that a value naming
+another thing of the same place matches nothing.  If none stands so, the most
+similar entry does if its similarity is ``sure``, since words run together or
+torn apart hide from any comparison by words.  A value that is an entry's alias
+but for case and punctuation is that entry.
 
 Scale.  Work is done per distinct value (one aggregation with map-side combine,
 so a value of a third of all rows costs as much as any).  A list of up to
@@ -76,15 +78,22 @@ def covers(core: Sequence[str], words: Sequence[str]) -> bool:
     return all(place(c, set()) for c in range(len(core)))
 
 
-def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values, words, hits = (batch.column(i).to_pylist() for i in range(3))
-        ids, scores = [], []
-        for said, near in zip(words, hits, strict=True):
-            best = next((h for h in sorted(near, key=lambda h: (-h["similarity"], h["id"])) if covers(h["core"], said)), None)
-            ids.append(best and best["id"])
-            scores.append(best and best["similarity"])
-        yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(ids, pa.int32()), pa.array(scores, pa.float64())], names=["value", "canon_id", "similarity"])
+def chosen(hits: list[tuple[float, int, Sequence[str]]], words: Sequence[str], sure: float) -> tuple[int, float] | None:
+    """Of (similarity, id, core) the best that stands, as (id, similarity)."""
+    hits = sorted(hits, key=lambda h: (-h[0], h[1]))
+    best = next((h for h in hits if covers(h[2], words)), hits[0] if hits and hits[0][0] >= sure else None)
+    return best and (best[1], best[0])
+
+
+def _choose(sure: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, words, hits = (batch.column(i).to_pylist() for i in range(3))
+            best = [chosen([(h["similarity"], h["id"], h["core"]) for h in near], said, sure) or (None, None) for said, near in zip(words, hits, strict=True)]
+            ids, scores = zip(*best, strict=True) if best else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(ids, pa.int32()), pa.array(scores, pa.float64())], names=["value", "canon_id", "similarity"])
+
+    return run
 
 
 def grams_of(words: Sequence[str]) -> set[str]:
@@ -95,8 +104,8 @@ def grams_of(words: Sequence[str]) -> set[str]:
 class _Index:
     """Entries by their prefix trigrams, rarest first."""
 
-    def __init__(self, entries: list[tuple[int, list[str], list[str]]], rarity: dict[str, int], threshold: float):
-        self.rarity, self.threshold = rarity, threshold
+    def __init__(self, entries: list[tuple[int, list[str], list[str]]], rarity: dict[str, int], threshold: float, sure: float):
+        self.rarity, self.threshold, self.sure = rarity, threshold, sure
         self.ids, self.cores = [e[0] for e in entries], [e[2] for e in entries]
         self.sets = [grams_of(e[1]) for e in entries]
         self.by_gram: dict[str, list[tuple[int, int]]] = defaultdict(list)
@@ -122,14 +131,11 @@ class _Index:
                     continue
                 both = len(grams & self.sets[k])
                 if both >= t * (n + m - both) - 1e-9:
-                    hits.append((-both / (n + m - both), self.ids[k], k))
-        for s, ident, k in sorted(hits):
-            if covers(self.cores[k], words):
-                return ident, -s
-        return None
+                    hits.append((both / (n + m - both), self.ids[k], self.cores[k]))
+        return chosen(hits, words, self.sure)
 
 
-def _match_here(typed: DataFrame, entries: list[tuple[int, list[str], list[str]]], threshold: float) -> DataFrame:
+def _match_here(typed: DataFrame, entries: list[tuple[int, list[str], list[str]]], threshold: float, sure: float) -> DataFrame:
     """Match against a list of checked size, held by every task."""
     context = typed.sparkSession.sparkContext
     known = context.broadcast(sorted({g for e in entries for g in grams_of(e[1])}))
@@ -147,7 +153,7 @@ def _match_here(typed: DataFrame, entries: list[tuple[int, list[str], list[str]]
     shared = context.broadcast((entries, dict(rarity)))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _Index(*shared.value, threshold)
+        index = _Index(*shared.value, threshold, sure)
         for batch in batches:
             found = [index.best(w) for w in batch.column(1).to_pylist()]
             keep = [i for i, f in enumerate(found) if f]
@@ -158,7 +164,7 @@ def _match_here(typed: DataFrame, entries: list[tuple[int, list[str], list[str]]
     return typed.mapInArrow(match, "value string, canon_id int, similarity double")
 
 
-def _match_shuffled(typed: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+def _match_shuffled(typed: DataFrame, known: DataFrame, threshold: float, sure: float) -> DataFrame:
     """Match against a list of any size."""
     typed, known = (df.withColumn("grams", trigrams(F.col("words"))) for df in (typed, known))
     rarity = typed.select(F.explode("grams").alias("g")).unionByName(known.select(F.explode("grams").alias("g"))).groupBy("g").agg(F.count("*").alias("df"))
@@ -185,10 +191,10 @@ def _match_shuffled(typed: DataFrame, known: DataFrame, threshold: float) -> Dat
         .groupBy("value")
         .agg(F.first("words").alias("words"), F.collect_list(F.struct("id", "core", "similarity")).alias("hits"))  # those similar enough
     )
-    return near.mapInArrow(_choose, "value string, canon_id int, similarity double").where("canon_id is not null")
+    return near.mapInArrow(_choose(sure), "value string, canon_id int, similarity double").where("canon_id is not null")
 
 
-def match_values(values: DataFrame, entries: DataFrame, threshold: float = 0.3, most_entries: int = 20_000, task_values: int = 2_000) -> DataFrame:
+def match_values(values: DataFrame, entries: DataFrame, threshold: float = 0.3, sure: float = 0.45, most_entries: int = 20_000, task_values: int = 2_000) -> DataFrame:
     """``values`` (value) -> distinct value, canon_id, similarity; -1 and null where no entry is meant.
 
     ``entries``: id int, name, alias (or null), core (the part of the name whose
@@ -203,9 +209,9 @@ def match_values(values: DataFrame, entries: DataFrame, threshold: float = 0.3,
     if len(some) <= most_entries:
         # few bytes but much work a value: as many tasks as the number of values asks for, not as their bytes do
         typed = typed.repartition(max(1, -(-said.count() // task_values)))
-        matched = _match_here(typed, [(r["id"], r["words"], r["core"]) for r in some], threshold)
+        matched = _match_here(typed, [(r["id"], r["words"], r["core"]) for r in some], threshold, sure)
     else:
-        matched = _match_shuffled(typed, known, threshold)
+        matched = _match_shuffled(typed, known, threshold, sure)
     same = known.groupBy("name").agg(F.min("id").alias("same_id"))
     short = known.where("alias is not null").groupBy(alias_of(F.col("alias")).alias("short")).agg(F.min("id").alias("alias_id")).where("short <> ''")
     return (

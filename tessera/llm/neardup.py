@@ -118,7 +118,7 @@ def _signature(hashes: int, least_words: int):
             enough = pc.fill_null(pc.greater_equal(pc.count_substring(texts, " "), least_words - 1), False).to_pylist()
             yield pa.array([row.tobytes() if e else None for row, e in zip(signer(texts), enough, strict=True)], pa.binary())
 
-    return run
+    return run.asNondeterministic()  # lest a filter on it be pushed before it and have it worked out twice
 
 
 class _Once:

@@ -38,14 +38,35 @@ said AS (
   ) WHERE len(w) >= 20
 ),
 features AS (SELECT DISTINCT tbl, key, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS f FROM (SELECT tbl, key, w, unnest(range(1, len(w) - 1)) AS i FROM said)),
-sizes AS (SELECT tbl, key, count(*) AS n FROM features GROUP BY tbl, key),
+feature_counts AS (SELECT tbl, key, count(*) AS n FROM features GROUP BY tbl, key),
 common AS (SELECT a.tbl, a.key AS key_a, b.key AS key_b, count(*) AS c FROM features a JOIN features b ON a.f = b.f AND a.tbl = b.tbl AND a.key < b.key GROUP BY ALL),
 alike AS (
-  SELECT c.tbl, key_a, key_b FROM common c JOIN sizes x ON x.tbl = c.tbl AND x.key = key_a JOIN sizes y ON y.tbl = c.tbl AND y.key = key_b
+  SELECT c.tbl, key_a, key_b FROM common c JOIN feature_counts x ON x.tbl = c.tbl AND x.key = key_a JOIN feature_counts y ON y.tbl = c.tbl AND y.key = key_b
   WHERE c >= 0.7 * (x.n + y.n - c) - 1e-9
 )"""
 
+_GROUPS = f"""{_ALIKE},
+named AS (SELECT tbl, key, md5(array_to_string(w, ' ')) AS c FROM said),
+edges AS (SELECT tbl, key_a, key_b FROM alike UNION SELECT tbl, key_b, key_a FROM alike),
+reach AS (SELECT tbl, key, key AS other FROM named UNION SELECT r.tbl, r.key, e.key_b FROM reach r JOIN edges e ON e.tbl = r.tbl AND e.key_a = r.other),
+grouped AS (SELECT tbl, key, min(other) AS group_id FROM reach GROUP BY tbl, key),
+sizes AS (SELECT tbl, group_id, count(*) AS group_size FROM grouped GROUP BY tbl, group_id HAVING count(*) > 1),
+linked AS (SELECT e.tbl, x.key, count(DISTINCT y.c) AS n_links FROM edges e JOIN named x ON x.tbl = e.tbl AND x.key = e.key_a JOIN named y ON y.tbl = e.tbl AND y.key = e.key_b WHERE x.c <> y.c GROUP BY e.tbl, x.key)"""
+
+_DOCUMENTS = "(SELECT count(*) FROM documents)"
+
 ORACLES = {
+    "p1_groups": f"WITH RECURSIVE {_GROUPS} SELECT g.tbl, g.key, g.group_id, group_size, coalesce(n_links, 0) AS n_links FROM grouped g JOIN sizes USING (tbl, group_id) LEFT JOIN linked l ON l.tbl = g.tbl AND l.key = g.key",
+    "p3_check": f"""
+        WITH v AS (SELECT 'records' AS tbl, record_id, primary_tag AS v, primary_tag IN (SELECT primary_tag FROM canonical_tags) AS e FROM {_current("records", "record_id")}
+          UNION ALL SELECT 'gi_crc_standalone', record_id, entity_name, entity_name IN (SELECT entity_name FROM canonical_entities) FROM {_current("gi_crc_standalone", "record_id")})
+        SELECT tbl, count(*) AS records, count(*) FILTER (WHERE e) AS exact, 0 AS faults FROM v WHERE regexp_matches(v, '\\S') GROUP BY tbl""",
+    "p5_check": f"""
+        SELECT 'chunks' AS tbl, chunk_id AS record_key, md5(text) AS digest, true AS fits FROM {_current("chunks", "chunk_id")} WHERE length(text) > 1200
+        UNION ALL SELECT 'tag_records', record_id, md5(text_excerpt), true FROM {_current("tag_records", "record_id")} WHERE length(text_excerpt) > 1200""",
+    "p6_check": f"SELECT capacity_id, {_DOCUMENTS} AS documents, 0 AS torn, 0 AS overfull, 0 AS disordered FROM pack_capacities",
+    "p7_check": "SELECT t.source, count(d.doc_id) AS documents, 0 AS repeated, 0 AS misreported, 0 AS doubled, false AS missed FROM mix_targets t LEFT JOIN documents d ON d.source = t.source GROUP BY t.source",
+    "p8_check": f"WITH {_WINDOWS}, found AS (SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM hits a JOIN hits b ON a.h = b.h AND a.doc_id < b.doc_id) SELECT count(*) AS pairs, 0 AS short, 0 AS unlike, 0 AS extendable FROM found",
     "p1_found": f"WITH {_ALIKE} SELECT tbl, key_a, key_b FROM alike",
     "p2_found": f"WITH {_RUN_ROWS} SELECT package_id, a AS first_segment_id, z AS last_segment_id FROM runs WHERE n > 1",
     "p2_runs": f"WITH {_RUN_ROWS} SELECT package_id AS entity, a AS first_item, z AS last_item, tag, n AS n_items, s AS start_sec, e AS end_sec, round(e - s, 6) AS duration_sec FROM runs",

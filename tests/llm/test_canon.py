@@ -71,3 +71,13 @@ def test_covers_finds_a_matching_wherever_there_is_one():
         for words in itertools.product(pool, repeat=3):
             want = any(all(edits_within(c, w, _allowed(c)) is not None for c, w in zip(core, some, strict=True)) for some in itertools.permutations(words, 2))
             assert covers(core, words) == want
+
+
+@pytest.mark.parametrize("most_entries", [100, 0])
+def test_words_run_together_are_decided_by_similarity(spark, most_entries):
+    entries = spark.createDataFrame([(1, "Heme::Node::T/NK_Cell_Proliferation", None, "T/NK_Cell_Proliferation"), (2, "Heme::Node::Ulcerated_Atypia", None, "Ulcerated_Atypia")], "id int, name string, alias string, core string")
+    values = spark.createDataFrame([("Heme::Node::T/NKCellProliferation",), ("Heme::Node::Radiated_Tophus",)], "value string")
+    got = {r["value"]: r["canon_id"] for r in match_values(values, entries, most_entries=most_entries).collect()}
+    assert got == {"Heme::Node::T/NKCellProliferation": 1, "Heme::Node::Radiated_Tophus": -1}
+    unsure = match_values(values, entries, sure=1.1, most_entries=most_entries).collect()
+    assert {r["canon_id"] for r in unsure} == {-1}

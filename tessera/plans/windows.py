@@ -66,18 +66,40 @@ def smoothed(spark, sf):
     return sequence.smooth_islands(rows, "package_id", ["start_sec", "segment_id"], "primary_tag", "start_sec", "end_sec", 3, 10).select("segment_id", "smoothed")
 
 
-@register("WIN-07")
+_BUDGETED = f"""rows AS (SELECT package_id, start_sec AS s, coalesce(end_sec, start_sec) AS e, coalesce(length(text), 0) AS c, row_number() OVER w AS n,
+         coalesce(start_sec - lag(coalesce(end_sec, start_sec)) OVER w > 20, true) AS cut FROM {_SEG} WHERE start_sec IS NOT NULL WINDOW w AS (PARTITION BY package_id ORDER BY start_sec, coalesce(end_sec, start_sec))),
+       steps AS (SELECT package_id, n, 1 AS w, s AS ws, c AS wc FROM rows WHERE n = 1
+         UNION ALL SELECT r.package_id, r.n, CASE WHEN fits THEN w ELSE w + 1 END, CASE WHEN fits THEN ws ELSE s END, CASE WHEN fits THEN wc + 1 + c ELSE c END
+         FROM (SELECT r.*, w, ws, wc, NOT cut AND e - ws <= 140 AND wc + 1 + c <= 2600 AS fits FROM steps t JOIN rows r ON r.package_id = t.package_id AND r.n = t.n + 1) r)"""
+
+
+@register("WIN-07", f"WITH RECURSIVE {_BUDGETED} SELECT package_id AS entity, min(s) AS window_start, max(e) AS window_end, count(*) AS n_rows, max(wc)::BIGINT AS n_chars FROM steps JOIN rows USING (package_id, n) GROUP BY package_id, w HAVING max(wc) >= 400")
 def budgeted(spark, sf):
     return sequence.merge_by_budget(_segments(spark, sf), "package_id", "start_sec", "end_sec", "text")
 
 
-@register("WIN-08")
+def _consolidated(same: float, any_tag: float) -> str:
+    """The state machine row by row, then chunk by chunk."""
+    return f"""WITH RECURSIVE
+       rows AS (SELECT package_id, start_sec AS s, coalesce(end_sec, start_sec) AS e, coalesce(length(text), 0) AS c, primary_tag AS g, row_number() OVER (PARTITION BY package_id ORDER BY start_sec, end_sec NULLS FIRST, primary_tag NULLS FIRST) AS n FROM {_SEG} WHERE start_sec IS NOT NULL),
+       steps AS (SELECT package_id, n, 1 AS w, s, e, 1 AS k, c, g FROM rows WHERE n = 1
+         UNION ALL SELECT package_id, n, CASE WHEN fits THEN w ELSE w + 1 END, CASE WHEN fits THEN ps ELSE s END, CASE WHEN fits THEN greatest(pe, e) ELSE e END, CASE WHEN fits THEN pk + 1 ELSE 1 END, CASE WHEN fits THEN pc + 1 + c ELSE c END, g
+         FROM (SELECT r.*, w, t.s AS ps, t.e AS pe, t.k AS pk, t.c AS pc, r.g IS NOT DISTINCT FROM t.g AND r.s - t.e <= 25 AND r.e - t.s <= 140 AND t.c + 1 + r.c <= 2600 AS fits FROM steps t JOIN rows r ON r.package_id = t.package_id AND r.n = t.n + 1)),
+       chunks AS (SELECT package_id, w AS n, s, e, k, c, g FROM steps QUALIFY row_number() OVER (PARTITION BY package_id, w ORDER BY steps.n DESC) = 1),
+       joined AS (SELECT package_id, n, 1 AS w, s, e, k, c, g FROM chunks WHERE n = 1
+         UNION ALL SELECT package_id, n, CASE WHEN fits THEN w ELSE w + 1 END, CASE WHEN fits THEN ps ELSE s END, CASE WHEN fits THEN greatest(pe, e) ELSE e END, CASE WHEN fits THEN pk + k ELSE k END, CASE WHEN fits THEN pc + 1 + c ELSE c END, CASE WHEN fits THEN pg ELSE g END
+         FROM (SELECT r.*, w, t.s AS ps, t.e AS pe, t.k AS pk, t.c AS pc, t.g AS pg,
+                 ((r.e - r.s < {same} AND r.g IS NOT DISTINCT FROM t.g) OR r.e - r.s < {any_tag}) AND r.e - t.s <= 140 * 1.35::DOUBLE AND t.c + 1 + r.c <= 2600 * 1.35::DOUBLE AS fits FROM joined t JOIN chunks r ON r.package_id = t.package_id AND r.n = t.n + 1))
+       SELECT package_id, s AS start_sec, e AS end_sec, k::BIGINT AS n_rows, c::BIGINT AS n_chars, g AS tag FROM joined QUALIFY row_number() OVER (PARTITION BY package_id, w ORDER BY n DESC) = 1"""
+
+
+@register("WIN-08", _consolidated(0.0, 0.0))
 def tagged_chunks(spark, sf):
     """Chunks of one tag within budgets, without absorption of short ones."""
     return scan.consolidate(_segments(spark, sf), "package_id", "start_sec", "end_sec", "text", "primary_tag", same=0.0, any_tag=0.0)
 
 
-@register("WIN-09")
+@register("WIN-09", _consolidated(55.0, 25.0))
 def absorbed_chunks(spark, sf):
     """The same with short chunks joined to the one before them."""
     return scan.consolidate(_segments(spark, sf), "package_id", "start_sec", "end_sec", "text", "primary_tag")
@@ -92,19 +114,43 @@ def _scored(spark, sf):
     return rows.withColumn("reset", F.contains("text", F.lit("agenda")))
 
 
-@register("WIN-12")
+def _held(within: float, least: float) -> str:
+    score = ", ".join(f"nullif((length(text) - length(replace(text, '{t}', ''))) / 20.0::DOUBLE, 0) AS s{i}" for i, t in enumerate(_TOPICS))
+    top = "greatest(" + ", ".join(f"s{i}" for i in range(len(_TOPICS))) + ")"
+    best = " ".join(f"WHEN s{_TOPICS.index(t)} = {top} THEN '{t}'" for t in sorted(_TOPICS))
+    own = " ".join(f"WHEN '{t}' THEN s{i}" for i, t in enumerate(_TOPICS))
+    step = f"""CASE WHEN reset THEN 'reset' WHEN best IS NULL THEN CASE WHEN held IS NULL THEN 'none' ELSE 'carried' END
+                    WHEN held <> best AND CASE held {own} END >= top - {within}::DOUBLE AND CASE held {own} END >= {least}::DOUBLE THEN 'held' ELSE 'best' END"""
+    return f"""WITH RECURSIVE
+       scored AS (SELECT package_id, segment_id, start_sec, coalesce(contains(text, 'agenda'), false) AS reset, {score} FROM {_SEG}),
+       rows AS (SELECT *, {top} AS top, CASE {best} END AS best, row_number() OVER (PARTITION BY package_id ORDER BY start_sec NULLS FIRST, segment_id) AS n FROM scored),
+       steps AS (SELECT package_id, 0::BIGINT AS n, NULL::VARCHAR AS segment_id, NULL::VARCHAR AS held, NULL::VARCHAR AS basis FROM (SELECT DISTINCT package_id FROM rows)
+         UNION ALL SELECT package_id, n, segment_id, CASE basis WHEN 'reset' THEN NULL WHEN 'best' THEN best ELSE held END, basis
+         FROM (SELECT r.*, held, {step} AS basis FROM steps t JOIN rows r ON r.package_id = t.package_id AND r.n = t.n + 1))
+       SELECT package_id, segment_id, held AS tag, basis FROM steps WHERE n > 0"""
+
+
+@register("WIN-12", _held(0.05, 0.0))
 def sticky_keywords(spark, sf):
     """Weak rows inherit the last topic; it is held while its score is at least 0.9 of the best (here: within 0.05)."""
     return scan.sticky_hold(_scored(spark, sf), "package_id", ["start_sec", "segment_id"], "segment_id", "scores", "reset", within=0.05, least=0.0)
 
 
-@register("WIN-14")
+@register("WIN-14", _held(0.025, 0.48))
 def sticky_semantic(spark, sf):
     """The last topic is held while it is within 0.025 of the best and at least 0.48."""
     return scan.sticky_hold(_scored(spark, sf), "package_id", ["start_sec", "segment_id"], "segment_id", "scores", "reset")
 
 
-@register("WIN-10", f"SELECT segment_id, substr(concat_ws(' ', lag(text) OVER w, text, lead(text) OVER w), 1, 120) AS context FROM {_SEG} WINDOW w AS (PARTITION BY package_id ORDER BY start_sec, segment_id)")
+@register(
+    "WIN-10",
+    f"""WITH o AS (SELECT segment_id, package_id, start_sec, nullif(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '') AS own FROM {_SEG}),
+       n AS (SELECT *, lag(own) OVER w AS before, lead(own) OVER w AS after FROM o WINDOW w AS (PARTITION BY package_id ORDER BY start_sec, segment_id)),
+       r AS (SELECT *, greatest(700 - coalesce(length(own), 0) - 2, 0)::INT AS room FROM n),
+       l AS (SELECT *, CASE WHEN length(before) <= room // 2 THEN before ELSE right(before, room // 2) END AS kept FROM r),
+       c AS (SELECT segment_id, CASE WHEN length(concat_ws(' ', before, own, after)) > 700 THEN concat_ws(' ', nullif(kept, ''), own, nullif(substr(after, 1, room - coalesce(length(kept), 0)::INT), '')) ELSE concat_ws(' ', before, own, after) END AS context FROM l)
+       SELECT segment_id, CASE WHEN context = '' THEN ' ' ELSE context END AS context FROM c""",
+)
 def context(spark, sf):
     return sequence.neighbour_context(_segments(spark, sf), "package_id", ["start_sec", "segment_id"], "text").select("segment_id", "context")
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import requests as R
-from tessera.operators.lexical import query_terms, tiered_search
-from tessera.plans.ranking import bm25_sql, lexical_rank_sql
+from tessera.operators.lexical import query_terms
+from tessera.plans.ranking import bm25_sql, lexical_rank_sql, postings
 from tessera.plans.registry import Registry
 from tessera.sources.tables import read_table
 
@@ -89,7 +89,7 @@ _REQUEST_TERMS = query_terms(R.expand_query(_REQUEST, _REQUEST_RULES).query, T.S
 @register("QRY-04", f"WITH {bm25_sql(_REQUEST_TERMS, lexical_rank_sql(_REQUEST_TERMS, 10))} SELECT *, 0 AS warnings FROM lex")
 def expanded_search(spark, sf):
     docs = read_table(spark, sf, "documents")
-    found, warnings = R.search_or_fall_back(lambda q: tiered_search(docs, "doc_id", "text", query_terms(q, T.STOPWORDS), 10), _REQUEST, _REQUEST_RULES)
+    found, warnings = R.search_or_fall_back(lambda q: postings(spark, sf).search(docs, "text", query_terms(q, T.STOPWORDS), 10), _REQUEST, _REQUEST_RULES)
     return found.withColumn("warnings", F.lit(len(warnings)))
 
 

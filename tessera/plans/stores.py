@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.operators import requests as R
 from tessera.operators.vector import dot
 from tessera.plans.registry import Registry
-from tessera.plans.streams import work_folder
+from tessera.session import work_folder
 from tessera.sources import readers, sinks
 from tessera.sources.tables import read_table
 

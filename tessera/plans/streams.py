@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import Registry
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import work_folder
 from tessera.sources import readers, sinks
 from tessera.sources.tables import read_table
 from tessera.streaming import events as E
@@ -16,12 +16,6 @@ register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
 
 
-def work_folder(spark) -> str:
-    """A new folder within the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
-
-
 @register("STR-01", "SELECT event_type, date_trunc('day', ts)::DATE AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling(spark, sf):
     counts = E.window_counts(E.event_stream(spark, f"{sf}/events.parquet"))

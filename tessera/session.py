@@ -14,6 +14,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -57,6 +58,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder's path within the shared checkpoint folder; it goes when the application ends."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
+    _remember(spark, path)
+    return path
+
+
+def _remember(spark: SparkSession, path: str) -> None:
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    _WRITTEN.append((spark, path))
+
+
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -70,9 +85,7 @@ def written_table(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if not _WRITTEN:
-        atexit.register(_remove_written)
-    _WRITTEN.append((spark, path))
+    _remember(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

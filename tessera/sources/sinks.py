@@ -77,6 +77,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last changed, in milliseconds."""
+    fs, p, _ = _fs(spark, path)
+    return fs.getFileStatus(p).getModificationTime()
+
+
 def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     """A small file, from the driver."""
     fs, p, _ = _fs(spark, path)

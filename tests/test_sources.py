@@ -110,3 +110,76 @@ def test_checked_write_and_promotion(spark, tmp_path):
 def test_manifest(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,)], "t string")
     assert json.loads(sinks.manifest(df, ["t"])) == {"rows": 3, "t_values": 1, "t_nulls": 1}
+
+
+def test_packages_with_faults_are_reported(spark, tmp_path):
+    seg = lambda a, b: {"segment_id": f"s{a}", "start_sec": a, "end_sec": b, "text": "t"}
+    cases = {"ok": [seg(0, 5), seg(5, 9)], "back": [seg(3, 5), seg(1, 2)], "ends": [seg(4, 3)], "none": []}
+    for name, segments in cases.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps({"package_id": name, "segments": segments}, indent=1))
+    (tmp_path / "anon.json").write_text(json.dumps({"segments": [seg(0, 1)]}))
+    taken, listed = readers.packages(spark, str(tmp_path))
+    assert [(r["package_id"], r["place"], r["segment_id"]) for r in taken.orderBy("place").collect()] == [("ok", 0, "s0"), ("ok", 1, "s5")]
+    assert {r["package_id"]: r["fault"] for r in listed.collect()} == {"ok": None, "back": "out of order", "ends": "ends before start", "none": "no segments", None: "no id"}
+
+
+def test_literals_and_worksheets(spark, tmp_path):
+    (tmp_path / "x.js").write_text('a = {entities: ["A \\"b\\"", "C"],\n entities : []}; z = {other: ["D"]}')
+    assert rows(readers.literal_arrays(spark, str(tmp_path / "x.js"), "entities").select("entry")) == [('A "b"',), ("C",)]
+    (tmp_path / "w.tsv").write_text("stray\tx\nOne\nEntity\tLink\nA\tu\tv1\n\nB\t\nTwo\nC\t u2 \n")
+    got = rows(readers.tabbed_sections(spark, str(tmp_path / "w.tsv"), ["entity"]).select("section", "text", "url", "volume"))
+    assert got == sorted([(None, "stray", "x", None), ("One", "A", "u", "v1"), ("One", "B", None, None), ("Two", "C", "u2", None)], key=repr)
+
+
+def test_vectors_must_agree_with_their_manifest(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", [1.0, 2.0]), (2, "b", [3.0, 4.0])], "id int, t string, v array<double>")
+    assert sinks.write_vectors(df, str(tmp_path / "v"), "id", "v") == {"rows": 2, "dimension": 2}
+    assert rows(readers.load_vectors(spark, str(tmp_path / "v"), "id").select("id", "t")) == [(1, "a"), (2, "b")]
+    df.select("id", "v").limit(1).write.mode("append").parquet(str(tmp_path / "v" / "vectors"))
+    with pytest.raises(RuntimeError):
+        readers.load_vectors(spark, str(tmp_path / "v"), "id")
+    with pytest.raises(ValueError, match="1 to 2"):
+        sinks.write_vectors(df.unionByName(spark.createDataFrame([(3, "c", [1.0])], df.schema)), str(tmp_path / "w"), "id", "v")
+    with pytest.raises(FileNotFoundError):
+        readers.open_table(spark, str(tmp_path / "nothing"))
+
+
+def test_pages_are_built_once(spark, tmp_path):
+    built = []
+
+    def build(keys):
+        built.append(sorted(r["key"] for r in keys.collect()))
+        return keys.withColumn("page", F.concat(F.lit("page "), "key"))
+
+    keys = spark.createDataFrame([("a",), ("b",), ("b",)], "key string")
+    path = str(tmp_path / "pages")
+    assert rows(sinks.read_through(spark, path, keys, build).select("key", "cached")) == [("a", False), ("b", False)]
+    more = keys.unionByName(spark.createDataFrame([("c",)], "key string"))
+    assert rows(sinks.read_through(spark, path, more, build).select("key", "page", "cached")) == [("a", "page a", True), ("b", "page b", True), ("c", "page c", False)]
+    assert built == [["a", "b"], ["c"]] and {r["cached"] for r in sinks.read_through(spark, path, more, build).collect()} == {True}
+
+
+def test_releases_archives_and_snapshots(spark, tmp_path):
+    folder = tmp_path / "release"
+    folder.mkdir()
+    (folder / "a.txt").write_text("one")
+    before = spark.createDataFrame(sinks.checksums(spark, str(folder)).collect())
+    sinks.package(spark, str(folder), str(tmp_path / "r.zip"), before)
+    assert sorted(zipfile.ZipFile(tmp_path / "r.zip").namelist()) == ["SHA256SUMS", "a.txt"]
+    (folder / "a.txt").write_text("two")
+    (folder / "b.txt").write_text("new")
+    assert rows(sinks.drift(before, sinks.checksums(spark, str(folder)))) == [("a.txt", "changed"), ("b.txt", "added")]
+    with pytest.raises(RuntimeError):
+        sinks.package(spark, str(folder), str(tmp_path / "s.zip"), before)
+    done = sinks.archive(spark, [str(folder), str(tmp_path / "absent")], str(tmp_path / "old"))
+    assert [(r["files"], r["bytes"], r["outcome"]) for r in done.collect()] == [(2, 6, "moved"), (0, 0, "missing")] and (tmp_path / "old" / "release" / "a.txt").exists()
+    held = sinks.Snapshot(spark, str(tmp_path / "snap"))
+    held.publish(spark.range(2), "v1")
+    assert (held.table().count(), held.table().count(), held.reads) == (2, 2, 1)
+    held.publish(spark.range(5), "v2")
+    assert (held.table().count(), held.reads) == (5, 2)
+
+
+def test_frames_end_with_a_result_or_an_error():
+    assert list(sinks.frames(["x"], lambda: 7)) == ['event: progress\ndata: "x"\n\n', "event: result\ndata: 7\n\n"]
+    assert list(sinks.frames([], lambda: 1 / 0))[-1].startswith('event: error\ndata: {"error": "ZeroDivisionError"')

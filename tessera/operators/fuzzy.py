@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.similarity import token_set_from
 
-#: Words that say too little to match on (who_section_mentions.py:205-228).
+#: Words that say too little to match on.
 GENERIC = (
     "carcinoma", "carcinomas", "adenocarcinoma", "adenocarcinomas", "tumor", "tumour", "tumors", "tumours", "neoplasm", "neoplasms", "lesion", "lesions",
     "cell", "cells", "clear", "gland", "glands", "malignant", "benign", "carcinosarcoma", "of", "in", "situ",

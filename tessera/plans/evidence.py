@@ -9,7 +9,7 @@ from tessera.functions import text as T
 from tessera.functions.similarity import sequence_ratio
 from tessera.operators import sampling
 from tessera.operators.current import current_rows
-from tessera.operators.fuzzy import conservative_best, token_set_best
+from tessera.operators.fuzzy import GENERIC, conservative_best, token_set_best
 from tessera.plans.registry import Registry
 from tessera.sources.tables import read_table
 
@@ -159,9 +159,11 @@ def best_match(spark, sf):
 
 @register(
     "JN-17",
-    """WITH v AS (SELECT DISTINCT trim(regexp_replace(lower(entity_name), '[^a-z0-9]+', ' ', 'g')) AS v FROM gi_crc_standalone WHERE entity_name IS NOT NULL), e AS (SELECT entity_id, trim(regexp_replace(lower(entity_name), '[^a-z0-9]+', ' ', 'g')) AS e FROM canonical_entities),
-            s AS (SELECT v, entity_id, CASE WHEN v = e THEN 1.0 WHEN contains(v, e) THEN round(length(e) / length(v), 6) WHEN contains(e, v) AND length(v) > 5 THEN round(length(v) / length(e), 6) ELSE 0.0 END AS s FROM v CROSS JOIN e)
-       SELECT v AS value, -(max((s, -entity_id))[2])::INT AS entity_id, max(s)::DOUBLE AS score FROM s WHERE s >= 0.5 GROUP BY v""".replace("-(max((s, -entity_id))[2])::INT", "arg_max(entity_id, (s, -entity_id))"),
+    f"""WITH v AS (SELECT v, list_distinct(list_filter(string_split(v, ' '), lambda w: length(w) > 2 AND w NOT IN {GENERIC})) AS w FROM (SELECT DISTINCT trim(regexp_replace(lower(entity_name), '[^a-z0-9]+', ' ', 'g')) AS v FROM gi_crc_standalone) WHERE v <> ''),
+            e AS (SELECT entity_id, e, list_distinct(list_filter(string_split(e, ' '), lambda w: length(w) > 2 AND w NOT IN {GENERIC})) AS x FROM (SELECT entity_id, trim(regexp_replace(lower(entity_name), '[^a-z0-9]+', ' ', 'g')) AS e FROM canonical_entities) WHERE e <> ''),
+            s AS (SELECT v, entity_id, v = e AS same, CASE WHEN v = e OR ((contains(v, e) OR contains(e, v)) AND len(w) > 0) THEN least(length(v), length(e)) / greatest(length(v), length(e))
+                    WHEN contains(v, e) OR contains(e, v) THEN 0 ELSE len(list_intersect(w, x)) / greatest(len(w), len(x), 1) END AS s FROM v CROSS JOIN e)
+       SELECT v AS value, entity_id, round(s, 6) AS score FROM s WHERE s >= 0.5 QUALIFY row_number() OVER (PARTITION BY v ORDER BY same DESC, round(s, 6) DESC, entity_id) = 1""",
 )
 def conservative_match(spark, sf):
     values = read_table(spark, sf, "gi_crc_standalone").select(T.normalize(F.col("entity_name")).alias("value"))

@@ -128,8 +128,10 @@ def both_unmatched(spark, sf):
 
 @register(
     "JN-13",
-    """WITH v AS (SELECT DISTINCT lower(entity_name) AS v FROM gi_crc_standalone WHERE nullif(trim(entity_name), '') IS NOT NULL), e AS (SELECT entity_id, lower(entity_name) AS e FROM canonical_entities),
-            c AS (SELECT v, entity_id, levenshtein(v, e) AS d, round(1 - levenshtein(v, e) / greatest(length(v), length(e)), 6) AS s FROM v JOIN e ON string_split(v, ' ')[1] = string_split(e, ' ')[1])
+    """WITH v AS (SELECT DISTINCT lower(entity_name) AS v, nullif(regexp_extract(lower(entity_name), '[a-z0-9]+'), '') AS b FROM gi_crc_standalone WHERE nullif(trim(entity_name), '') IS NOT NULL),
+            e AS (SELECT entity_id, lower(entity_name) AS e, nullif(regexp_extract(lower(entity_name), '[a-z0-9]+'), '') AS b FROM canonical_entities),
+            p AS (SELECT v, e, entity_id FROM v JOIN e USING (b) UNION ALL SELECT v, e, entity_id FROM v CROSS JOIN e WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.b = v.b)),
+            c AS (SELECT v, entity_id, round(1 - levenshtein(v, e) / greatest(length(v), length(e)), 6) AS s FROM p)
        SELECT v AS value, entity_id, s AS similarity FROM c WHERE s >= 0.8 QUALIFY row_number() OVER (PARTITION BY v ORDER BY s DESC, entity_id) = 1""",
 )
 def blocked_edit_join(spark, sf):

@@ -291,12 +291,12 @@ def tag_aware(spark, sf):
 
 @register(
     "QRY-17",
-    """WITH r AS (SELECT record_id, ingested_at, CASE WHEN row_index % 3 = 0 THEN 'ABPathSpec::' || primary_tag ELSE primary_tag END AS tag, CASE WHEN row_index % 4 = 0 THEN upper(tag_root) || '.' WHEN row_index % 4 = 1 THEN 'Cyto' END AS browse FROM records WHERE row_index IS NOT NULL),
+    """WITH r AS (SELECT record_id, ingested_at, CASE WHEN row_index % 3 = 0 THEN 'Wrapped::' || primary_tag ELSE primary_tag END AS tag, CASE WHEN row_index % 4 = 0 THEN upper(tag_root) || '.' WHEN row_index % 4 = 1 THEN 'Cyto' END AS browse FROM records WHERE row_index IS NOT NULL),
        p AS (SELECT *, list_filter(string_split(tag, '::'), lambda x: x <> '') AS p, nullif(regexp_replace(lower(browse), '[^a-z0-9]+', '', 'g'), '') AS b FROM r),
-       t AS (SELECT *, CASE WHEN contains(tag, '::') THEN regexp_replace(lower(CASE WHEN regexp_replace(lower(p[1]), '[^a-z0-9]+', '', 'g') = 'abpathspec' AND len(p) > 1 THEN p[2] ELSE p[1] END), '[^a-z0-9]+', '', 'g') END AS t FROM p)
+       t AS (SELECT *, CASE WHEN contains(tag, '::') THEN regexp_replace(lower(CASE WHEN regexp_replace(lower(p[1]), '[^a-z0-9]+', '', 'g') = 'wrapped' AND len(p) > 1 THEN p[2] ELSE p[1] END), '[^a-z0-9]+', '', 'g') END AS t FROM p)
        SELECT DISTINCT record_id, ingested_at, CASE WHEN b = 'cyto' AND starts_with(t, 'cyto') THEN t ELSE coalesce(b, t) END AS root FROM t""",
 )
 def page_roots(spark, sf):
-    tag = F.when(F.col("row_index") % 3 == 0, F.concat(F.lit("ABPathSpec::"), "primary_tag")).otherwise(F.col("primary_tag"))
+    tag = F.when(F.col("row_index") % 3 == 0, F.concat(F.lit("Wrapped::"), "primary_tag")).otherwise(F.col("primary_tag"))
     browse = F.when(F.col("row_index") % 4 == 0, F.concat(F.upper("tag_root"), F.lit("."))).when(F.col("row_index") % 4 == 1, "Cyto")
-    return read_table(spark, sf, "records").where("row_index is not null").select("record_id", "ingested_at", R.page_root(tag, browse, "abpathspec", "cyto").alias("root")).distinct()
+    return read_table(spark, sf, "records").where("row_index is not null").select("record_id", "ingested_at", R.page_root(tag, browse, "wrapped", "cyto").alias("root")).distinct()

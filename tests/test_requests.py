@@ -100,8 +100,8 @@ def test_variants():
 
 
 def test_roots_and_safe_terms(spark):
-    df = spark.createDataFrame([("ABPathSpec::cyto::Lung", None), ("GI::Colon", "Heme "), ("Cyto_Lung::X", "cyto"), ("plain", None), (None, "HN"), ("::A::", "")], "t string, b string")
-    got = [r[0] for r in df.select(R.page_root(F.col("t"), F.col("b"), "abpathspec", "cyto")).collect()]
+    df = spark.createDataFrame([("Wrapped::cyto::Lung", None), ("GI::Colon", "Heme "), ("Cyto_Lung::X", "cyto"), ("plain", None), (None, "HN"), ("::A::", "")], "t string, b string")
+    got = [r[0] for r in df.select(R.page_root(F.col("t"), F.col("b"), "wrapped", "cyto")).collect()]
     assert got == ["cyto", "heme", "cytolung", None, "hn", "a"]
     pairs = spark.createDataFrame([("thoracic", "thoraxmediastinum"), ("gi", "gi"), ("gi", None), ("", ""), ("gi", "gu")], "a string, b string")
     assert [r[0] for r in pairs.select(R.same_root(F.col("a"), F.col("b"), [("thoracic", "thoraxmediastinum")])).collect()] == [True, True, False, False, False]

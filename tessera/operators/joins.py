@@ -67,3 +67,14 @@ def inherit_last(df: DataFrame, sequence: str, order: Sequence[str], position: s
     return before.withColumn("inherited", F.when(F.col(value).isNotNull(), F.col(value)).when(near, F.col("_last.v"))).withColumn(
         "inherited_from", F.when(F.col(value).isNotNull(), "own").when(near, "before")
     ).drop("_n", "_last")
+
+
+def range_lookup(df: DataFrame, value: str, ranges: DataFrame, low: str, high: str, width: int) -> DataFrame:
+    """Rows with the ranges [low, high] their whole ``value`` lies in.
+
+    Ranges are cut into cells of ``width``, so it is an equality join of any
+    size; ``width`` should be about that of a range.
+    """
+    cells = F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))).alias("_cell")
+    cut = ranges.where(F.col(low) <= F.col(high)).select("*", cells)
+    return df.withColumn("_cell", F.floor(F.col(value) / width)).join(cut, "_cell").where(F.col(value).between(F.col(low), F.col(high))).drop("_cell")

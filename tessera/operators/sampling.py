@@ -24,3 +24,33 @@ def balanced(df: DataFrame, outer: list[str], inner: str, key: str, per_inner: i
     joined = some.join(counts, [*outer, inner])
     place = F.row_number().over(Window.partitionBy(*outer).orderBy(F.desc("_c"), inner, "_n"))
     return joined.withColumn("_p", place).where(F.col("_p") <= cap).drop("_n", "_c", "_p")
+
+
+def quota_sample(df: DataFrame, group: str, key: str, size: int, seed: int = 0, best: list | None = None) -> DataFrame:
+    """``size`` rows: an equal share of each group (at least one), by ``best`` or in seeded order, and the rest in seeded order from what is left.
+
+    What is counted on the driver is a number of groups and of rows taken.
+    """
+    order = [*(best or [seeded(F.col(key), seed)]), F.col(key)]
+    share = max(1, size // max(1, df.select(group).distinct().count()))
+    placed = df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    taken = placed.where(F.col("_n") <= share).drop("_n")
+    missing = max(0, size - taken.count())
+    rest = placed.where(F.col("_n") > share).drop("_n").orderBy(seeded(F.col(key), seed), key).limit(missing)
+    return taken.unionByName(rest)
+
+
+def required_first(df: DataFrame, strata: list[Column], key: str, size: int, seed: int = 0) -> DataFrame:
+    """One row of each stratum that has any, none twice, then rows in seeded order up to ``size``; adds ``stratum`` (from 1; 0 for the fill).
+
+    Each pick is a distributed top-1 and leaves the table by its key.
+    """
+    left, out, taken = df, None, 0
+    for i, stratum in enumerate(strata, 1):
+        pick = left.where(stratum).orderBy(seeded(F.col(key), seed), key).limit(1).collect()
+        if pick:
+            row = df.sparkSession.createDataFrame(pick, df.schema).withColumn("stratum", F.lit(i))
+            out, taken = (row if out is None else out.unionByName(row)), taken + 1
+            left = left.where(F.col(key) != pick[0][key])
+    fill = left.orderBy(seeded(F.col(key), seed), key).limit(max(0, size - taken)).withColumn("stratum", F.lit(0))
+    return fill if out is None else out.unionByName(fill)

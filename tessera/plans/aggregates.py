@@ -242,11 +242,6 @@ def new_only(spark, sf):
     return rows.where("hit_rank > 5").select("doi").distinct().join(rows.where("hit_rank <= 5").select("doi"), "doi", "left_anti")
 
 
-@register("ORC-01", "SELECT package_id, coalesce(min(root), 'none') AS root FROM segments_indexable GROUP BY package_id HAVING count(*) FILTER (WHERE tag_status = 'semantic_gated_v0_2') = 0")
-def pending(spark, sf):
-    return read_table(spark, sf, "segments_indexable").groupBy("package_id").agg(F.coalesce(F.min("root"), F.lit("none")).alias("root"), F.count_if(F.col("tag_status") == "semantic_gated_v0_2").alias("n")).where("n = 0").drop("n")
-
-
 @register("ORC-07", "SELECT coalesce(nullif(journal, ''), source_name, 'unknown') AS journal, count(*) AS n, count(DISTINCT lower(doi)) AS dois, count(DISTINCT lower(title)) AS titles FROM journal_virchows GROUP BY 1")
 def inventory(spark, sf):
     name = F.coalesce(F.nullif("journal", F.lit("")), "source_name", F.lit("unknown"))
@@ -276,13 +271,6 @@ def hide_aliases(spark, sf):
     return rows.where("tag_root = 'Cyto'").join(rows.where("tag_root <> 'Cyto'").select("leaf"), "leaf", "left_anti").select("tag_id")
 
 
-@register("DOC-05", "WITH g AS (SELECT tag_root, string_split(primary_tag, '::')[2] AS part, count(*) AS n FROM canonical_tags GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY tag_root) AS total FROM g) SELECT tag_root, part, n, round(n / total, 6) AS share, n / total >= 0.4 AS dominant FROM t")
-def category_groups(spark, sf):
-    groups = read_table(spark, sf, "canonical_tags").groupBy("tag_root", T.tag_part(F.col("primary_tag"), 2).alias("part")).agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("tag_root"))
-    return groups.select("tag_root", "part", "n", F.round(share, 6).alias("share"), (share >= 0.4).alias("dominant"))
-
-
 @register("EVL-01", "SELECT e.entity_id, count(*) AS hits FROM canonical_entities e JOIN gi_crc_standalone g ON contains(lower(g.entity_name), lower(e.entity_name)) GROUP BY 1")
 def expected_hits(spark, sf):
     entities = read_table(spark, sf, "canonical_entities").select("entity_id", F.lower("entity_name").alias("e"))  # a fixed list
@@ -290,12 +278,6 @@ def expected_hits(spark, sf):
     return rows.join(F.broadcast(entities), F.contains("v", F.col("e"))).groupBy("entity_id").agg(F.sum("n").alias("hits"))
 
 
-@register("EVL-02", "SELECT chunk_id, ingested_at, CASE WHEN excerpt IS NULL THEN 'no_text' WHEN retrieval_mode = 'fts_only' AND bm25_score IS NULL THEN 'no_score' WHEN doi IS NULL AND source_url IS NULL THEN 'no_locator' ELSE 'ok' END AS failure FROM journal_virchows")
-def failures(spark, sf):
-    why = F.when(F.col("excerpt").isNull(), "no_text").when((F.col("retrieval_mode") == "fts_only") & F.col("bm25_score").isNull(), "no_score").when(F.col("doi").isNull() & F.col("source_url").isNull(), "no_locator").otherwise("ok")
-    return read_table(spark, sf, "journal_virchows").select("chunk_id", "ingested_at", why.alias("failure"))
-
-
 @register("EVL-05", "SELECT record_id, array_to_string(list_sort(list_distinct(list(u))), ',') AS urls FROM (SELECT record_id, url AS u FROM records WHERE url LIKE 'https://%' UNION ALL SELECT record_id, source_url FROM gi_crc_standalone WHERE source_url LIKE 'https://%') GROUP BY record_id")
 def url_inventory(spark, sf):
     a = read_table(spark, sf, "records").select("record_id", F.col("url").alias("u"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with QUERIES and ORACLES.
-MODULES = ("packed", "text", "filters", "joins", "windows", "ranking", "requests", "aggregates", "evidence", "gates", "streams", "stores")
+MODULES = ("packed", "text", "filters", "joins", "windows", "ranking", "requests", "aggregates", "evidence", "gates", "streams", "stores", "selection")
 
 
 def _gather(what: str) -> dict:

@@ -22,11 +22,11 @@ _CARDS_SQL = """cards AS (
   UNION ALL SELECT 'entities', record_id, coalesce(nullif(trim(entity_name), ''), nullif(trim(title), ''), 'untitled'), nullif(source_url, ''), substr(excerpt, 1, 200), ingested_at FROM gi_crc_standalone)"""
 
 
-def _cards(spark, sf):
+def _cards(spark, sf, letters: int | None = 200):
     def part(table, source, ident, titles, url, text):
         title = F.coalesce(*(T.present(F.col(t)) for t in titles), F.lit("untitled"))
         link = F.nullif(url, F.lit("")) if url else F.lit(None).cast("string")
-        return read_table(spark, sf, table).select(F.lit(source).alias("source"), F.col(ident).alias("id"), title.alias("title"), link.alias("url"), F.substring(text, 1, 200).alias("excerpt"), "ingested_at")
+        return read_table(spark, sf, table).select(F.lit(source).alias("source"), F.col(ident).alias("id"), title.alias("title"), link.alias("url"), (F.substring(text, 1, letters) if letters else F.col(text)).alias("excerpt"), "ingested_at")
 
     return (
         part("chunks", "textbooks", "chunk_id", ["section_heading", "chapter_title"], None, "text")
@@ -52,22 +52,12 @@ def rebuilt(spark, sf):
     return some.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
 
 
-@register("PRJ-08", f"WITH {_CARDS_SQL} SELECT source, id, ingested_at, substr(excerpt, 1, 70) AS excerpt FROM cards QUALIFY row_number() OVER (PARTITION BY source ORDER BY length(excerpt) DESC NULLS LAST, id, ingested_at) <= 8")
+@register("PRJ-08", f"WITH {_CARDS_SQL.replace(', 1, 200)', ', 1)')} SELECT source, id, ingested_at, substr(excerpt, 1, 700) AS excerpt FROM cards QUALIFY row_number() OVER (PARTITION BY source ORDER BY length(excerpt) DESC NULLS LAST, id, ingested_at) <= CASE source WHEN 'journals' THEN 10 ELSE 8 END")
 def pinned(spark, sf):
+    """Eight cards a source, ten of the literature, by the length of their whole texts, which are then cut."""
     n = F.row_number().over(Window.partitionBy("source").orderBy(F.desc_nulls_last(F.char_length("excerpt")), "id", "ingested_at"))
-    return _cards(spark, sf).withColumn("n", n).where("n <= 8").select("source", "id", "ingested_at", F.substring("excerpt", 1, 70).alias("excerpt"))
-
-
-@register(
-    "PRJ-09",
-    """WITH u AS (SELECT chunk_id AS id, 1 AS f, source_url AS url FROM journal_virchows WHERE source_url <> '' UNION ALL SELECT chunk_id, 2, 'https://doi.org/' || doi FROM journal_virchows WHERE doi <> ''),
-            o AS (SELECT url, min((id, f)) AS first FROM u GROUP BY url) SELECT url, row_number() OVER (ORDER BY first)::INT AS n FROM o QUALIFY n <= 48""",
-)
-def citation_index(spark, sf):
-    links = F.array(F.struct(F.lit(1).alias("f"), F.nullif("source_url", F.lit("")).alias("url")), F.struct(F.lit(2).alias("f"), F.concat(F.lit("https://doi.org/"), F.nullif("doi", F.lit(""))).alias("url")))
-    each = read_table(spark, sf, "journal_virchows").select(F.col("chunk_id").alias("id"), F.explode(links).alias("l")).where("l.url is not null")
-    first = each.groupBy("l.url").agg(F.min(F.struct("id", "l.f")).alias("first")).orderBy("first").limit(48)
-    return first.select("url", F.row_number().over(Window.orderBy("first")).alias("n"))
+    most = F.when(F.col("source") == "journals", 10).otherwise(8)
+    return _cards(spark, sf, None).withColumn("n", n).where(F.col("n") <= most).select("source", "id", "ingested_at", F.substring("excerpt", 1, 700).alias("excerpt"))
 
 
 @register("PRJ-10", "SELECT segment_id, ingested_at, 'Lecture ' || package_id || ' at ' || floor(start_sec)::BIGINT || 's: ' || text AS embed_text FROM segments_indexable WHERE video_url <> '' AND length(text) >= 40")
@@ -205,15 +195,6 @@ def unique_figures(spark, sf):
     return rows.groupBy("image_path", F.md5(F.coalesce("text", F.lit(""))).alias("h")).agg(F.min_by("chunk_id", F.struct("chunk_id", "ingested_at")).alias("chunk_id")).select("chunk_id", "image_path")
 
 
-@register(
-    "WIN-25",
-    "WITH r AS (SELECT doc_id, root, row_number() OVER (PARTITION BY root ORDER BY md5('9:' || doc_id), doc_id) AS n FROM documents WHERE root IS NOT NULL) SELECT doc_id, root FROM r WHERE (root = 'Cyto' AND n <= 1) OR (root <> 'Cyto' AND n <= 3)",
-)
-def strata(spark, sf):
-    rows = read_table(spark, sf, "documents").where("root is not null").select("doc_id", "root")
-    return sampling.per_group(rows.where("root = 'Cyto'"), ["root"], "doc_id", 1, 9).unionByName(sampling.per_group(rows.where("root <> 'Cyto'"), ["root"], "doc_id", 3, 9))
-
-
 @register(
     "WIN-27",
     """WITH r AS (SELECT segment_id, package_id, start_sec, CASE WHEN regexp_matches(text, 'cystic') THEN 'cystic' WHEN regexp_matches(text, 'marker') THEN 'marker' END AS head FROM segments_indexable QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY ingested_at DESC) = 1)

@@ -79,19 +79,6 @@ def on_topic(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", (~off & low.rlike("carcinoma|fibroma")).alias("kept"))
 
 
-_WORDS = "list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')"
-_FILLER = ("now", "so", "you", "can", "we", "this", "that", "the", "a", "of", "in", "is", "for", "these", "saw")
-
-
-@register(
-    "FLT-11",
-    f"""WITH w AS (SELECT segment_id, ingested_at, {_WORDS} AS w FROM segments_indexable)
-        SELECT segment_id, ingested_at, CASE WHEN len(w) < 3 THEN 'too_short' WHEN len(list_filter(w, lambda t: t IN {_FILLER})) >= 0.45 * len(w) AND len(w) < 40 THEN 'filler' ELSE 'kept' END AS reason FROM w""",
-)
-def low_information(spark, sf):
-    words = read_table(spark, sf, "segments_indexable").select("segment_id", "ingested_at", T.tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    n, filler = F.size("w"), F.size(F.filter("w", lambda t: t.isin(*_FILLER)))
-    return words.select("segment_id", "ingested_at", F.when(n < 3, "too_short").when((filler >= 0.45 * n) & (n < 40), "filler").otherwise("kept").alias("reason"))
 
 
 @register(
@@ -108,12 +95,6 @@ def housekeeping(spark, sf):
     return rows.join(spans, "package_id").select("segment_id", "ingested_at", flag.alias("housekeeping"))
 
 
-@register("FLT-14", "SELECT doc_id, len(list_distinct(regexp_extract_all(text, 'marker [A-Z]+-[0-9]+'))) >= 3 OR contains(lower(text), 'table of contents') AS dump FROM documents")
-def agenda(spark, sf):
-    names = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("marker [A-Z]+-[0-9]+"), F.lit(0))))
-    return read_table(spark, sf, "documents").select("doc_id", ((names >= 3) | F.contains(F.lower("text"), F.lit("table of contents"))).alias("dump"))
-
-
 @register("FLT-16", "SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size > 40 THEN 'wide' END, CASE WHEN p_size < 5 THEN 'tiny' END, CASE WHEN p_retailprice / p_size > 200 THEN 'strip' END], lambda x: x IS NOT NULL), ',') AS flags FROM part")
 def flags(spark, sf):
     found = F.filter(F.array(F.when(F.col("p_size") > 40, "wide"), F.when(F.col("p_size") < 5, "tiny"), F.when(F.col("p_retailprice") / F.col("p_size") > 200, "strip")), lambda x: x.isNotNull())

@@ -15,18 +15,6 @@ QUERIES, ORACLES = register.queries, register.oracles
 _WORDS = "list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')"
 
 
-@register(
-    "FLT-12",
-    f"""WITH w AS (SELECT chunk_id, ingested_at, {_WORDS} AS w, section_heading FROM chunks)
-        SELECT chunk_id, ingested_at, CASE WHEN len(w) < 3 THEN 'too_short' WHEN len(w) >= 5 AND section_heading IS NOT NULL THEN 'context' WHEN len(w) < 18 THEN 'short' WHEN len(list_distinct(w)) < 0.3 * len(w) THEN 'repetitive' ELSE 'kept' END AS class FROM w""",
-)
-def low_information_classes(spark, sf):
-    rows = read_table(spark, sf, "chunks").select("chunk_id", "ingested_at", "section_heading", T.tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    n = F.size("w")
-    kind = F.when(n < 3, "too_short").when((n >= 5) & F.col("section_heading").isNotNull(), "context").when(n < 18, "short").when(F.size(F.array_distinct("w")) < 0.3 * n, "repetitive").otherwise("kept")
-    return rows.select("chunk_id", "ingested_at", kind.alias("class"))
-
-
 @register("FLT-17", "SELECT p_partkey, CASE WHEN p_size < 4 THEN 'tiny' WHEN p_size * p_retailprice < 8000 THEN 'small_area' WHEN greatest(p_size * 20, p_retailprice) / least(p_size * 20, p_retailprice) >= 12 THEN 'strip' END AS reason FROM part")
 def excluded_dimensions(spark, sf):
     w, h = F.col("p_size") * 20, F.col("p_retailprice")
@@ -40,11 +28,6 @@ def dark_samples(spark, sf):
     return read_table(spark, sf, "embeddings").select("vec_id", ((mean < 0.0) & (F.size(F.filter("embedding", lambda x: x < 0)) >= 34)).alias("dark"))
 
 
-@register("FLT-29", "SELECT record_id, ingested_at FROM curriculum_records WHERE status = 'approved' AND NOT coalesce(contains(approved_tag, 'Gastritis'), false)")
-def gated(spark, sf):
-    return read_table(spark, sf, "curriculum_records").where((F.col("status") == "approved") & ~F.coalesce(F.contains("approved_tag", F.lit("Gastritis")), F.lit(False))).select("record_id", "ingested_at")
-
-
 _TERMS = ("carcinoma", "necrosis", "margin")
 
 
@@ -75,22 +58,6 @@ def priority_choice(spark, sf):
     return rows.groupBy("source").agg(F.min_by("primary_tag", F.struct("p", "record_id", "primary_tag")).alias("chosen"))
 
 
-@register(
-    "EVL-03",
-    """WITH g AS (SELECT entity_id, entity_name, unnest(['name', 'abbreviation']) AS kind, unnest([lower(entity_name), lower(abbreviation)]) AS q FROM canonical_entities),
-            r AS (SELECT record_id, lower(entity_name) AS e FROM gi_crc_standalone WHERE entity_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY ingested_at DESC) = 1),
-            h AS (SELECT entity_id, kind, count(e) AS hits FROM g LEFT JOIN r ON r.e = g.q WHERE q IS NOT NULL GROUP BY ALL)
-       SELECT kind, count(*) AS queries, count(*) FILTER (WHERE hits > 0) AS hit, round(100.0 * count(*) FILTER (WHERE hits > 0) / count(*), 2) AS rate FROM h GROUP BY kind""",
-)
-def benchmark_runner(spark, sf):
-    e = read_table(spark, sf, "canonical_entities")
-    grid = e.select("entity_id", F.explode(F.array(F.struct(F.lit("name").alias("kind"), F.lower("entity_name").alias("q")), F.struct(F.lit("abbreviation").alias("kind"), F.lower("abbreviation").alias("q")))).alias("x")).select("entity_id", "x.kind", "x.q").where("q is not null")
-    rows = current_rows(read_table(spark, sf, "gi_crc_standalone"), "record_id", ["entity_name"]).where("entity_name is not null")
-    hits = rows.groupBy(F.lower("entity_name").alias("q")).agg(F.count("*").alias("hits"))
-    found = F.count_if(F.coalesce("hits", F.lit(0)) > 0)
-    return grid.join(hits, "q", "left").groupBy("kind").agg(F.count("*").alias("queries"), found.alias("hit"), F.round(100.0 * found / F.count("*"), 2).alias("rate"))
-
-
 @register("EVL-07", "SELECT doc_id, regexp_extract(text, '([A-Z][^.]*mitos[^.]*[.])', 1) AS fact FROM documents")
 def key_fact(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", F.regexp_extract("text", "([A-Z][^.]*mitos[^.]*[.])", 1).alias("fact"))

@@ -111,11 +111,6 @@ def two_sidecars(spark, sf):
     return read_table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "n_name", "r_name")
 
 
-@register("JN-11", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def anti(spark, sf):
-    return read_table(spark, sf, "customer").join(read_table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
-
-
 @register(
     "JN-12",
     "SELECT 'tag' AS side, primary_tag AS value FROM canonical_tags t WHERE NOT EXISTS (SELECT 1 FROM records r WHERE r.primary_tag = t.primary_tag) UNION ALL SELECT DISTINCT 'record', primary_tag FROM records r WHERE primary_tag IS NOT NULL AND NOT EXISTS (SELECT 1 FROM canonical_tags t WHERE r.primary_tag = t.primary_tag)",

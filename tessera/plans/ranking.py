@@ -117,44 +117,6 @@ def norms(spark, sf):
     return read_table(spark, sf, "embeddings").select("vec_id", F.round(F.sqrt(dot(v, v)), 6).alias("norm"), F.round(unit(v)[0], 6).alias("first"))
 
 
-@register("RNK-03", "SELECT tag_id, CASE WHEN primary_tag = 'GI::Colon' THEN 1200 WHEN starts_with(primary_tag, 'GI::Colon') THEN 950 WHEN tag_root = 'GI' THEN 900 ELSE 100 * (contains(lower(primary_tag), 'cell')::INT + contains(lower(primary_tag), 'polyp')::INT) END::INT AS score FROM canonical_tags")
-def node_score(spark, sf):
-    tag = F.col("primary_tag")
-    hits = 100 * (F.contains(F.lower(tag), F.lit("cell")).cast("int") + F.contains(F.lower(tag), F.lit("polyp")).cast("int"))
-    return read_table(spark, sf, "canonical_tags").select("tag_id", F.when(tag == "GI::Colon", 1200).when(tag.startswith("GI::Colon"), 950).when(F.col("tag_root") == "GI", 900).otherwise(hits).alias("score"))
-
-
-@register(
-    "RNK-04",
-    """WITH t AS (SELECT record_id, ingested_at, list_distinct(list_filter(string_split(trim(regexp_replace(lower(entity_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')) AS w, lower(entity_name) AS n FROM gi_crc_standalone WHERE entity_name IS NOT NULL)
-       SELECT record_id, ingested_at, round(least(0.15 * len(list_intersect(w, ['adenoma', 'giant', 'cell', 'liver'])), 1.5) + CASE WHEN contains(n, 'giant cell adenoma of the liver') THEN 2.0 ELSE 0 END - CASE WHEN contains(n, 'colon') THEN 0.5 ELSE 0 END, 6) AS boost FROM t""",
-)
-def title_boost(spark, sf):
-    name = F.col("entity_name")
-    shared = F.size(F.array_intersect(T.tokens(name), F.array(*(F.lit(x) for x in ("adenoma", "giant", "cell", "liver")))))
-    boost = F.least(0.15 * shared, F.lit(1.5)) + F.when(F.contains(F.lower(name), F.lit("giant cell adenoma of the liver")), 2.0).otherwise(0.0) - F.when(F.contains(F.lower(name), F.lit("colon")), 0.5).otherwise(0.0)
-    return read_table(spark, sf, "gi_crc_standalone").where("entity_name is not null").select("record_id", "ingested_at", F.round(boost, 6).alias("boost"))
-
-
-@register(
-    "RNK-11",
-    """WITH v AS (SELECT DISTINCT lower(entity_name) AS v FROM gi_crc_standalone WHERE entity_name IS NOT NULL)
-       SELECT v AS value, CASE WHEN v = 'serrated xanthoma of the colon' THEN 100 WHEN contains(v, 'serrated xanthoma of the colon') OR (length(v) > 3 AND contains('serrated xanthoma of the colon', v)) THEN 95 ELSE round(100 * (1 - levenshtein(v, 'serrated xanthoma of the colon') / greatest(length(v), 30)), 4) END AS score FROM v""",
-)
-def lexical_similarity(spark, sf):
-    target = "serrated xanthoma of the colon"
-    v = F.lower("entity_name")
-    held = F.contains(v, F.lit(target)) | ((F.length(v) > 3) & F.contains(F.lit(target), v))
-    score = F.when(v == target, 100.0).when(held, 95.0).otherwise(F.round(100 * (1 - F.levenshtein(v, F.lit(target)) / F.greatest(F.length(v), F.lit(len(target)))), 4))
-    return read_table(spark, sf, "gi_crc_standalone").where("entity_name is not null").select(v.alias("value"), score.alias("score")).distinct()
-
-
-@register("RNK-12", f"SELECT doc_id, round(({' + '.join(f'''contains(lower(text), '{t}')::INT''' for t in TERMS)}) / {len(TERMS)}.0, 6) AS relevance FROM documents")
-def relevance(spark, sf):
-    hits = F.size(F.filter(F.array(*(F.lit(t) for t in TERMS)), lambda t: F.contains(F.lower(F.col("text")), t)))
-    return read_table(spark, sf, "documents").select("doc_id", F.round(F.when(F.col("text").isNotNull(), hits / F.lit(float(len(TERMS)))), 6).alias("relevance"))
-
-
 @register("QRY-12", "SELECT tag_id, lower(replace(array_to_string(list_slice(string_split(primary_tag, '::'), -2, -1), ' '), '_', ' ')) AS query FROM canonical_tags")
 def suggested(spark, sf):
     last = F.slice(F.split("primary_tag", "::"), -2, 2)

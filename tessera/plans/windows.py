@@ -218,24 +218,6 @@ def best_segment(spark, sf):
     return rows.groupBy("package_id").agg(F.max_by("segment_id", F.struct(F.char_length("text"), F.col("end_sec") - F.col("start_sec"), F.col("segment_id"))).alias("segment_id"))
 
 
-@register(
-    "WIN-21",
-    """WITH t AS (SELECT tag_id, tag_root, primary_tag, string_split(primary_tag, '::')[-1] AS leaf, CASE tag_authority WHEN 'curriculum' THEN 0 WHEN 'who_like' THEN 1 ELSE 2 END AS p FROM canonical_tags),
-            w AS (SELECT leaf, arg_min(primary_tag, (p, primary_tag)) AS winner, list(primary_tag ORDER BY primary_tag) AS l FROM t GROUP BY leaf)
-       SELECT leaf, winner, array_to_string(list_filter(l, lambda x: x <> winner), ',') AS aliases FROM w""",
-)
-def winners(spark, sf):
-    rank = F.when(F.col("tag_authority") == "curriculum", 0).when(F.col("tag_authority") == "who_like", 1).otherwise(2)
-    rows = read_table(spark, sf, "canonical_tags").withColumn("leaf", T.tag_part(F.col("primary_tag"), -1)).withColumn("p", rank)
-    won = rows.groupBy("leaf").agg(F.min_by("primary_tag", F.struct("p", "primary_tag")).alias("winner"), F.collect_set("primary_tag").alias("l"))
-    return won.select("leaf", "winner", F.array_join(F.array_except(F.sort_array("l"), F.array("winner")), ",").alias("aliases"))
-
-
-@register("WIN-22", "SELECT doc_id, source FROM documents WHERE source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('3:' || doc_id), doc_id) <= 4")
-def stratified(spark, sf):
-    return sampling.per_group(read_table(spark, sf, "documents").where("source is not null").select("doc_id", "source"), ["source"], "doc_id", 4, 3)
-
-
 @register(
     "WIN-23",
     """WITH r AS (SELECT record_id, source, tag_root, primary_tag FROM records WHERE primary_tag IS NOT NULL AND source IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY ingested_at DESC) = 1),
@@ -247,12 +229,6 @@ def source_balanced(spark, sf):
     return sampling.balanced(rows, ["source"], "primary_tag", "record_id", 2, 10).select("record_id", "source", "primary_tag")
 
 
-@register("WIN-24", "WITH b AS (SELECT doc_id, CASE WHEN regexp_matches(title, 'carcinoma') THEN 0 WHEN regexp_matches(title, 'oma') THEN 1 ELSE 2 END AS bucket FROM documents) SELECT doc_id, bucket FROM b QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY md5('5:' || doc_id), doc_id) <= 7")
-def bucketed(spark, sf):
-    bucket = F.when(F.col("title").rlike("carcinoma"), 0).when(F.col("title").rlike("oma"), 1).otherwise(2)
-    return sampling.per_group(read_table(spark, sf, "documents").select("doc_id", bucket.alias("bucket")), ["bucket"], "doc_id", 7, 5)
-
-
 @register(
     "WIN-26",
     """WITH c AS (SELECT chunk_id, source_id, chapter_title, section_heading, ingested_at FROM chunks WHERE source_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC) = 1)
@@ -264,13 +240,6 @@ def headings(spark, sf):
     return rows.select("chunk_id", F.last("section_heading", ignorenulls=True).over(over).alias("section"))
 
 
-@register("WIN-28", "SELECT p_partkey, b.label FROM part JOIN (VALUES (1, 10, 'small'), (11, 25, 'medium'), (26, 50, 'large')) b(lo, hi, label) ON p_size BETWEEN lo AND hi")
-def ranges(spark, sf):
-    size = F.col("p_size")
-    label = F.when(size.between(1, 10), "small").when(size.between(11, 25), "medium").when(size.between(26, 50), "large")
-    return read_table(spark, sf, "part").select("p_partkey", label.alias("label")).where("label is not null")
-
-
 @register("WIN-29", "WITH c AS (SELECT tag_root, primary_tag, row_number() OVER (PARTITION BY tag_root ORDER BY primary_tag) AS n FROM canonical_tags) SELECT r.root, coalesce(c.primary_tag, 'none') AS example FROM (SELECT unnest(['GI', 'GU', 'Dental']) AS root) r LEFT JOIN c ON c.tag_root = r.root AND n <= 5")
 def examples(spark, sf):
     n = F.row_number().over(Window.partitionBy("tag_root").orderBy("primary_tag"))

@@ -267,14 +267,14 @@ def contents_lists(spark, sf):
 
 @register(
     "FLT-29",
-    """WITH g AS (SELECT source, count(*) FILTER (WHERE status NOT IN ('approved', 'pending')) AS bad FROM curriculum_records GROUP BY source)
-       SELECT record_id, ingested_at FROM curriculum_records JOIN g USING (source) WHERE bad * 20 <= (SELECT count(*) FROM curriculum_records c WHERE c.source = g.source) AND status = 'approved' AND NOT coalesce(regexp_matches(approved_tag, '::Lectures::|::Textbooks::|::Error|Slide_|Page_'), false)""",
+    """WITH g AS (SELECT source, count(*) FILTER (WHERE status = 'rejected_or_hidden') AS bad FROM curriculum_records GROUP BY source)
+       SELECT record_id, ingested_at FROM curriculum_records JOIN g USING (source) WHERE bad * 7 <= (SELECT count(*) FROM curriculum_records c WHERE c.source = g.source) AND status = 'approved' AND NOT coalesce(regexp_matches(approved_tag, '::Lectures::|::Textbooks::|::Error|Slide_|Page_'), false)""",
 )
 def group_gate(spark, sf):
-    """Approved rows without a forbidden tag, of sources of which at most a twentieth was refused."""
+    """Approved rows without a forbidden tag, of sources of which at most a seventh was refused."""
     rows = read_table(spark, sf, "curriculum_records")
-    refused = F.coalesce(~F.col("status").isin("approved", "pending"), F.lit(False))
-    fit = rows.groupBy("source").agg(F.count_if(refused).alias("bad"), F.count("*").alias("n")).where("bad * 20 <= n").select("source")
+    refused = F.coalesce(F.col("status") == "rejected_or_hidden", F.lit(False))
+    fit = rows.groupBy("source").agg(F.count_if(refused).alias("bad"), F.count("*").alias("n")).where("bad * 7 <= n").select("source")
     forbidden = F.coalesce(F.col("approved_tag").rlike("::Lectures::|::Textbooks::|::Error|Slide_|Page_"), F.lit(False))
     return rows.where((F.col("status") == "approved") & ~forbidden).join(fit, "source").select("record_id", "ingested_at")
 

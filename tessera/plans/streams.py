@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import Registry
@@ -19,7 +17,7 @@ QUERIES, ORACLES = register.queries, register.oracles
 @register("STR-01", "SELECT event_type, date_trunc('day', ts)::DATE AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling(spark, sf):
     counts = E.window_counts(E.event_stream(spark, f"{sf}/events.parquet"))
-    out = E.run_to_table(counts, f"w_{uuid.uuid4().hex}", "complete", work_folder(spark))
+    out = E.run_to_table(counts, work_folder(spark), "update", ["event_type", "start"])
     return out.select("event_type", F.col("start").cast("date").alias("day"), "n", "total")
 
 
@@ -31,7 +29,7 @@ def tumbling(spark, sf):
 )
 def stream_sessions(spark, sf):
     counts = E.session_counts(E.event_stream(spark, f"{sf}/events.parquet"))
-    out = E.run_to_table(counts, f"s_{uuid.uuid4().hex}", "complete", work_folder(spark))
+    out = E.run_to_table(counts, work_folder(spark), "complete")
     return out.select("user_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), F.col("last_ts").cast("timestamp_ntz").alias("last_ts"), "n")
 
 
@@ -43,14 +41,22 @@ def stream_sessions(spark, sf):
 )
 def stream_carried(spark, sf):
     state = E.carried_forward(E.event_stream(spark, f"{sf}/events.parquet"), "purchase", 3)
-    out = E.run_to_table(state, f"c_{uuid.uuid4().hex}", "update", work_folder(spark))
-    return out.groupBy("user_id").agg(F.max("carried").alias("carried"), F.max("plain").alias("plain"))
+    return E.run_to_table(state, work_folder(spark), "update", ["user_id"])
 
 
-@register("STR-06", "SELECT count(DISTINCT user_id) AS users FROM events")
+@register("STR-06", "SELECT user_id, event_type, 1 AS n FROM events GROUP BY ALL")
 def stream_first_seen(spark, sf):
-    seen = E.first_seen(E.event_stream(spark, f"{sf}/events.parquet"), "user_id", "365 days").select("user_id")
-    return E.run_to_table(seen, f"f_{uuid.uuid4().hex}", "append", work_folder(spark)).agg(F.countDistinct("user_id").alias("users"))
+    """Each user's first event of each type, whatever the number of rounds."""
+    events = E.event_stream(spark, f"{sf}/events.parquet").withColumn("k", F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
+    seen = E.first_seen(events, "k", "3650 days").select("user_id", "event_type")
+    return E.run_to_table(seen, work_folder(spark), "append").groupBy("user_id", "event_type").agg(F.count("*").cast("int").alias("n"))
+
+
+@register("STR-04", "SELECT count(*) AS done, true AS rising FROM events")
+def stream_progress(spark, sf):
+    frames = E.progress(E.event_stream(spark, f"{sf}/events.parquet").select("event_id"), work_folder(spark))
+    done = [f["done"] for f in frames]
+    return spark.createDataFrame([(done[-1], done == sorted(done))], "done bigint, rising boolean")
 
 
 @register("SRC-01", "SELECT r_regionkey, r_name FROM region")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -66,8 +69,36 @@ def carried_forward(events: DataFrame, marks: str, most_rows: int, late: str = "
     return rows.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, carried bigint, plain bigint", "remaining bigint, carried bigint, plain bigint", "update", "EventTimeTimeout")
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a bounded stream to its end into a memory table (of a small result) and give that table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, path: str, mode: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Run a bounded stream to its end into tables at ``path``, and give what it found.
+
+    Every micro-batch is a table of its own, written whole or written again
+    after a failure; nothing passes the driver.  What counts is all batches of
+    an ``append`` stream, the last of a ``complete`` one, and the latest row of
+    each of ``keys`` of an ``update`` one.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batches/batch={batch}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = stream.sparkSession
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{path}/batches")
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        return rows.where(F.col("batch") == last).drop("batch") if last is not None else rows.drop("batch")
+    if mode == "update":
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*(c for c in stream.columns if c not in keys)), "batch").alias("_r")).select(*keys, "_r.*")
+    return rows.drop("batch")
+
+
+def progress(stream: DataFrame, path: str, mode: str = "append") -> list[dict]:
+    """Run a bounded stream to its end, dropping its rows, and give a frame per micro-batch: batch, rows, done."""
+    query = stream.writeStream.foreachBatch(lambda rows, batch: rows.write.format("noop").mode("overwrite").save()).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    done, out = 0, []
+    for p in query.recentProgress:
+        done += p["numInputRows"] if isinstance(p, dict) else p.numInputRows
+        out.append({"batch": p["batchId"] if isinstance(p, dict) else p.batchId, "rows": p["numInputRows"] if isinstance(p, dict) else p.numInputRows, "done": done})
+    return out

@@ -112,3 +112,35 @@ def neighbour_context(df: DataFrame, partition: str, order: Sequence[str], text:
     trimmed = F.concat_ws(" ", F.nullif("_left", F.lit("")), "_own", F.nullif("_right", F.lit("")))
     context = F.when(F.length(whole) > most, trimmed).otherwise(whole)
     return cut.withColumn("context", F.when(context == "", " ").otherwise(context)).drop("_own", "_before", "_after", "_left", "_right")
+
+
+def outline(df: DataFrame, document: str, order: Sequence[str], text: str, levels: Sequence[tuple[str, str]], item: str) -> DataFrame:
+    """Items of outlined documents with the headings they stand under: document, one column per level, number, item.
+
+    ``levels`` are names and patterns from the outermost in, each with one group
+    for the title; ``item`` is the pattern of a line that begins an item.  A
+    heading ends those of its own and inner levels.  Other lines that aren't
+    blank continue the item before them; before any item they are passed over.
+    ``number`` counts the items under an outermost heading.  An outline is
+    ordered by nature: a document is one sorted stream.
+    """
+    over = Window.partitionBy(document).orderBy(*order)
+    upto = over.rowsBetween(Window.unboundedPreceding, 0)
+    level = F.lit(None).cast("int")
+    for i, (_, pattern) in reversed(list(enumerate(levels))):
+        level = F.when(F.col(text).rlike(pattern), i).otherwise(level)
+    rows = df.where(F.trim(F.col(text)) != "").withColumn("_n", F.row_number().over(over)).withColumn("_level", level)
+    rows = rows.withColumn("_item", F.col("_level").isNull() & F.col(text).rlike(item))
+    for i, (name, pattern) in enumerate(levels):
+        held = F.last(F.when(F.col("_level") == i, F.struct(F.col("_n").alias("n"), F.trim(F.regexp_extract(F.col(text), pattern, 1)).alias("t"))), ignorenulls=True).over(upto)
+        outer = F.coalesce(F.last(F.when(F.col("_level") < i, F.col("_n")), ignorenulls=True).over(upto), F.lit(0))
+        rows = rows.withColumn(f"_h{i}", held).withColumn(f"_o{i}", outer)
+    for i, (name, _) in enumerate(levels):
+        rows = rows.withColumn(name, F.when(F.col(f"_h{i}.n") > F.col(f"_o{i}"), F.col(f"_h{i}.t")))
+    # a heading ends an item as well: what follows it continues nothing
+    rows = rows.withColumn("_start", F.last(F.when(F.col("_item"), F.col("_n")).when(F.col("_level").isNotNull(), F.lit(-1)), ignorenulls=True).over(upto))
+    rows = rows.where(F.col("_level").isNull() & (F.col("_start") > 0))
+    said = F.when(F.col("_item"), F.regexp_extract(F.col(text), item, 1)).otherwise(F.col(text))
+    names = [n for n, _ in levels]
+    items = rows.groupBy(document, *names, "_start").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", F.trim(said).alias("t")))), lambda x: x["t"]), " ").alias("item"))
+    return items.withColumn("number", F.row_number().over(Window.partitionBy(document, names[0]).orderBy("_start"))).drop("_start")

@@ -100,12 +100,3 @@ def flag_comparison(spark, sf):
 def caps(spark, sf):
     part = lambda t, c, k, n: read_table(spark, sf, t).select(F.col(c).alias("id")).distinct().orderBy("id").limit(n).select(F.lit(k).alias("kind"), "id")
     return part("chunks", "chunk_id", "chunk", 120).unionByName(part("journal_virchows", "chunk_id", "journal", 10)).unionByName(part("gi_crc_standalone", "record_id", "entity", 40))
-
-
-@register("JN-18", "WITH v AS (SELECT DISTINCT lower(entity_name) AS v FROM gi_crc_standalone WHERE entity_name IS NOT NULL), e AS (SELECT entity_id, lower(string_split(entity_name, ' of ')[1]) AS head, lower(string_split(entity_name, ' of the ')[-1]) AS organ FROM canonical_entities), s AS (SELECT v, entity_id, CASE WHEN contains(v, head) THEN 1.0 ELSE 0.0 END + CASE WHEN contains(v, organ) THEN 0.5 ELSE 0.0 END AS s FROM v JOIN e ON contains(v, head)) SELECT v AS value, arg_max(entity_id, (s, -entity_id)) AS entity_id, max(s)::DOUBLE AS score FROM s GROUP BY v")
-def context_match(spark, sf):
-    v = read_table(spark, sf, "gi_crc_standalone").where("entity_name is not null").select(F.lower("entity_name").alias("value")).distinct()
-    e = read_table(spark, sf, "canonical_entities").select("entity_id", F.lower(F.split("entity_name", " of ")[0]).alias("head"), F.lower(F.element_at(F.split("entity_name", " of the "), -1)).alias("organ"))
-    score = 1.0 + F.when(F.contains("value", F.col("organ")), 0.5).otherwise(0.0)
-    hits = v.join(F.broadcast(e), F.contains("value", F.col("head"))).withColumn("s", score)  # a fixed list
-    return hits.groupBy("value").agg(F.max(F.struct("s", (-F.col("entity_id")).alias("n"))).alias("x")).select("value", (-F.col("x.n")).alias("entity_id"), F.col("x.s").alias("score"))

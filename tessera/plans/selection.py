@@ -389,3 +389,97 @@ def citation_index(spark, sf):
     return first.select("url", F.row_number().over(Window.orderBy("first")).alias("n"))
 
 
+
+
+# --- ontology rows
+
+
+@register(
+    "WIN-26",
+    """SELECT r_name AS major, n_name AS organ, CASE WHEN s_suppkey % 2 = 1 THEN 'odd' END AS section, s_name || ' of ' || s_suppkey AS item,
+         row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey, s_suppkey % 2, s_suppkey)::INT AS number FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+)
+def outlined(spark, sf):
+    """Suppliers written as an outline of regions, nations and sections, with wrapped lines, and read back from it."""
+    from tessera.operators.sequence import outline
+
+    region, nation, supplier = (read_table(spark, sf, t) for t in ("region", "nation", "supplier"))
+    held = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    lines = (
+        region.select("r_regionkey", F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(-1).cast("bigint").alias("c"), F.lit(0).alias("d"), F.concat((F.col("r_regionkey") + 1).cast("string"), F.lit(". "), "r_name").alias("line"))
+        .unionByName(held.select("r_regionkey", F.col("n_nationkey").alias("a"), F.lit(-1).alias("b"), F.lit(-1).cast("bigint").alias("c"), F.lit(0).alias("d"), F.concat(F.lit("A) "), "n_name").alias("line")))
+        .unionByName(held.select("r_regionkey", F.col("n_nationkey").alias("a"), F.lit(1).alias("b"), F.lit(-1).cast("bigint").alias("c"), F.lit(0).alias("d"), F.lit("* odd").alias("line")))
+    )
+    rows = supplier.join(held, F.col("s_nationkey") == F.col("n_nationkey")).select("r_regionkey", F.col("n_nationkey").alias("a"), (F.col("s_suppkey") % 2).cast("int").alias("b"), F.col("s_suppkey").alias("c"), F.explode(F.array(F.struct(F.lit(0).alias("d"), F.concat(F.lit("- "), "s_name").alias("line")), F.struct(F.lit(1).alias("d"), F.concat(F.lit("   of "), F.col("s_suppkey").cast("string")).alias("line")))).alias("x")).select("r_regionkey", "a", "b", "c", "x.*")
+    levels = [("major", r"^[0-9]+\. (.*)$"), ("organ", r"^A\) (.*)$"), ("section", r"^\* (.*)$")]
+    return outline(lines.unionByName(rows), "r_regionkey", ["a", "b", "c", "d"], "line", levels, r"^- (.*)$").drop("r_regionkey")
+
+
+@register(
+    "PRJ-15",
+    """WITH p AS (SELECT tag_id, tag_root, primary_tag, split_part(primary_tag, '::', 2) AS organ, split_part(primary_tag, '::', 3) AS leaf FROM canonical_tags)
+       SELECT tag_id, CASE WHEN tag_root = 'Cyto' THEN 'cytology' WHEN tag_root IN ('GI', 'GU', 'GYN') THEN 'viscera' WHEN tag_root IN ('Heme', 'Neuro') THEN 'systems' ELSE 'other' END AS section,
+         CASE WHEN tag_root IN ('GI', 'GU', 'GYN', 'Heme', 'Neuro') THEN primary_tag ELSE 'Spec::' || lower(tag_root) || '::' || organ || '::' || leaf END AS tag,
+         CASE WHEN organ = '' OR starts_with(organ, '(') OR regexp_full_match(organ, '[0-9]+') OR length(organ) < 4 THEN 'General' ELSE replace(organ, '_', ' ') END AS subcategory FROM p""",
+)
+def projected_leaves(spark, sf):
+    """Leaves of sections with tags of their own keep them, others are wrapped; what is no organ goes under General."""
+    parts = F.split("primary_tag", "::")
+    organ, leaf, root = F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")), F.coalesce(F.try_element_at(parts, F.lit(3)), F.lit("")), F.col("tag_root")
+    section = F.when(root == "Cyto", "cytology").when(root.isin("GI", "GU", "GYN"), "viscera").when(root.isin("Heme", "Neuro"), "systems").otherwise("other")
+    tag = F.when(section.isin("viscera", "systems"), F.col("primary_tag")).otherwise(F.concat_ws("::", F.lit("Spec"), F.lower(root), organ, leaf))
+    general = (organ == "") | organ.startswith("(") | organ.rlike("^[0-9]+$") | (F.length(organ) < 4)
+    return read_table(spark, sf, "canonical_tags").select("tag_id", section.alias("section"), tag.alias("tag"), F.when(general, "General").otherwise(F.replace(organ, F.lit("_"), F.lit(" "))).alias("subcategory"))
+
+
+_PRIORS = ("GI::Colon", "GI::", "HN::")
+
+
+@register(
+    "RNK-08",
+    f"""WITH l AS (SELECT tag_id, primary_tag, lower(replace(split_part(primary_tag, '::', 3), '_', ' ')) AS phrase, len(string_split(primary_tag, '::')) AS depth FROM canonical_tags),
+       lw AS (SELECT *, list_distinct(list_filter(regexp_extract_all(phrase, '[a-z0-9]+'), lambda x: length(x) > 2)) AS w FROM l),
+       d AS (SELECT doc_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents WHERE title IS NOT NULL), dw AS (SELECT *, list_distinct(string_split(t, ' ')) AS w FROM d),
+       o AS (SELECT doc_id, tag_id, primary_tag, depth, len(lw.w) AS k, list_intersect(lw.w, dw.w) AS o, CASE WHEN contains(t, phrase) THEN CASE WHEN length(phrase) >= 10 THEN 10 + least(length(phrase) / 8.0, 5.0) WHEN length(phrase) >= 6 THEN 4.5 ELSE 0 END ELSE 0 END AS p FROM lw JOIN dw ON len(list_intersect(lw.w, dw.w)) > 0),
+       s AS (SELECT doc_id, tag_id, p + list_sum(list_transform(o, lambda x: 1.6 + least(length(x) / 5.0, 2.5))) + 0.12 * depth + 0.08 * k
+               + CASE {' '.join(f"WHEN starts_with(primary_tag, '{x}') THEN {2.0 - 0.15 * i}" for i, x in enumerate(_PRIORS))} ELSE 0 END AS score, p > 0 OR len(o) >= 2 OR list_max(list_transform(o, lambda x: length(x))) >= 8 AS ok FROM o)
+       SELECT doc_id, tag_id, round(score, 6)::DOUBLE AS score FROM s WHERE ok QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, tag_id) <= 3""",
+)
+def leaf_scores(spark, sf):
+    """The three leaves that a title speaks for most: its phrase, its words by length, its depth, and where it stands."""
+    parts = F.split("primary_tag", "::")
+    phrase = F.lower(F.replace(F.element_at(parts, 3), F.lit("_"), F.lit(" ")))
+    words = F.array_distinct(F.filter(F.regexp_extract_all(phrase, F.lit("[a-z0-9]+"), F.lit(0)), lambda x: F.length(x) > 2))
+    prior = F.lit(0.0)
+    for i, x in reversed(list(enumerate(_PRIORS))):
+        prior = F.when(F.col("primary_tag").startswith(x), 2.0 - 0.15 * i).otherwise(prior)
+    leaves = read_table(spark, sf, "canonical_tags").select("tag_id", phrase.alias("phrase"), (0.12 * F.size(parts) + 0.08 * F.size(words) + prior).alias("base"), F.explode(words).alias("w"))
+    titles = read_table(spark, sf, "documents").where("title is not null").select("doc_id", T.normalize(F.col("title")).alias("t"))
+    said = titles.select("doc_id", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
+    met = said.join(F.broadcast(leaves), "w").groupBy("doc_id", "tag_id").agg(F.first("t").alias("t"), F.first("phrase").alias("phrase"), F.first("base").alias("base"), F.sum(1.6 + F.least(F.length("w") / 5.0, F.lit(2.5))).alias("o"), F.count("*").alias("n"), F.max(F.length("w")).alias("longest"))
+    p = F.when(F.contains("t", F.col("phrase")), F.when(F.length("phrase") >= 10, 10 + F.least(F.length("phrase") / 8.0, F.lit(5.0))).when(F.length("phrase") >= 6, 4.5).otherwise(0.0)).otherwise(0.0)
+    scored = met.withColumn("p", p).where("p > 0 or n >= 2 or longest >= 8").select("doc_id", "tag_id", F.round(F.col("p") + F.col("o") + F.col("base"), 6).alias("score"))
+    return scored.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "tag_id"))).where("_n <= 3").drop("_n")
+
+
+@register(
+    "JN-18",
+    """WITH v AS (SELECT DISTINCT trim(regexp_replace(lower(entity_name), '[^a-z0-9]+', ' ', 'g')) AS v, lower(coalesce(section, '')) AS page FROM gi_crc_standalone WHERE entity_name IS NOT NULL), vw AS (SELECT *, list_distinct(string_split(v, ' ')) AS w FROM v WHERE v <> ''),
+       e AS (SELECT entity_id, trim(regexp_replace(lower(entity_name), '[^a-z0-9]+', ' ', 'g')) AS e, lower(string_split(entity_name, ' of the ')[-1]) AS organ FROM canonical_entities), ew AS (SELECT *, list_distinct(list_filter(string_split(e, ' '), lambda x: length(x) > 3)) AS x, string_split(e, ' ')[1] AS subtype FROM e),
+       s AS (SELECT v, page, entity_id, len(list_intersect(w, x)) / len(x) + CASE WHEN contains(v, organ) OR contains(page, organ) THEN 0.2 ELSE 0 END - CASE WHEN NOT list_contains(w, subtype) THEN 0.3 ELSE 0 END AS s FROM vw JOIN ew ON len(list_intersect(w, x)) > 0)
+       SELECT v AS value, page, entity_id, round(s, 6)::DOUBLE AS score FROM s WHERE s >= 0.5 QUALIFY row_number() OVER (PARTITION BY v, page ORDER BY round(s, 6) DESC, entity_id) = 1""",
+)
+def context_match(spark, sf):
+    """The entry that shares most words with a value, favoured by the organ of value or page, less where the entry names a subtype the value doesn't."""
+    rows = read_table(spark, sf, "gi_crc_standalone").where("entity_name is not null").select(T.normalize(F.col("entity_name")).alias("value"), F.lower(F.coalesce("section", F.lit(""))).alias("page")).where("value <> ''").distinct()
+    name = T.normalize(F.col("entity_name"))
+    words = F.array_distinct(F.filter(F.split(name, " "), lambda x: F.length(x) > 3))
+    entries = read_table(spark, sf, "canonical_entities").select("entity_id", F.lower(F.element_at(F.split("entity_name", " of the "), -1)).alias("organ"), F.split(name, " ")[0].alias("subtype"), F.size(words).alias("k"), F.explode(words).alias("w"))
+    said = rows.select("value", "page", F.explode(F.array_distinct(F.split("value", " "))).alias("w"))
+    met = said.join(F.broadcast(entries), "w").groupBy("value", "page", "entity_id").agg(F.count("*").alias("n"), F.first("k").alias("k"), F.first("organ").alias("organ"), F.first("subtype").alias("subtype"))
+    there = F.contains("value", F.col("organ")) | F.contains("page", F.col("organ"))
+    lacks = ~F.array_contains(F.split("value", " "), F.col("subtype"))
+    raw = F.col("n") / F.col("k") + F.when(there, 0.2).otherwise(0.0) - F.when(lacks, 0.3).otherwise(0.0)
+    scored = met.withColumn("raw", raw).where("raw >= 0.5").select("value", "page", "entity_id", F.round("raw", 6).alias("score"))
+    best = scored.groupBy("value", "page").agg(F.max(F.struct("score", (-F.col("entity_id")).alias("n"))).alias("x"))
+    return best.select("value", "page", (-F.col("x.n")).alias("entity_id"), F.col("x.score").alias("score"))

@@ -229,17 +229,6 @@ def source_balanced(spark, sf):
     return sampling.balanced(rows, ["source"], "primary_tag", "record_id", 2, 10).select("record_id", "source", "primary_tag")
 
 
-@register(
-    "WIN-26",
-    """WITH c AS (SELECT chunk_id, source_id, chapter_title, section_heading, ingested_at FROM chunks WHERE source_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC) = 1)
-       SELECT chunk_id, last_value(section_heading IGNORE NULLS) OVER (PARTITION BY source_id, chapter_title ORDER BY chunk_id ROWS UNBOUNDED PRECEDING) AS section FROM c""",
-)
-def headings(spark, sf):
-    rows = current_rows(read_table(spark, sf, "chunks"), "chunk_id", ["source_id", "chapter_title", "section_heading"]).where("source_id is not null")
-    over = Window.partitionBy("source_id", "chapter_title").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("chunk_id", F.last("section_heading", ignorenulls=True).over(over).alias("section"))
-
-
 @register("WIN-29", "WITH c AS (SELECT tag_root, primary_tag, row_number() OVER (PARTITION BY tag_root ORDER BY primary_tag) AS n FROM canonical_tags) SELECT r.root, coalesce(c.primary_tag, 'none') AS example FROM (SELECT unnest(['GI', 'GU', 'Dental']) AS root) r LEFT JOIN c ON c.tag_root = r.root AND n <= 5")
 def examples(spark, sf):
     n = F.row_number().over(Window.partitionBy("tag_root").orderBy("primary_tag"))

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -35,7 +36,7 @@ def nearest_many(df: DataFrame, key: str, vector: str, queries: DataFrame, k: in
     shuffled is those.  Rows without a vector take no part.
     """
     spark, parts, held = df.sparkSession, [], []
-    kind = df.schema[key].dataType.simpleString()
+    kind, arrow = df.schema[key].dataType.simpleString(), to_arrow_type(df.schema[key].dataType)
 
     def search(share) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +57,7 @@ def nearest_many(df: DataFrame, key: str, vector: str, queries: DataFrame, k: in
                     s, names = np.take_along_axis(s, order, 1), np.take_along_axis(names, order, 1)
                 best_s, best_k = s, names
             at = np.repeat(np.arange(len(ids)), best_s.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at]), pa.array(best_k.ravel().tolist()), pa.array(best_s.ravel())], names=["query", key, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], arrow), pa.array(best_k.ravel().tolist(), arrow), pa.array(best_s.ravel(), pa.float64())], names=["query", key, "score"])
 
         return df.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"query {kind}, `{key}` {kind}, score double")
 

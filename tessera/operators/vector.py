@@ -79,3 +79,51 @@ def nearest_many(df: DataFrame, key: str, vector: str, queries: DataFrame, k: in
         found = found.unionByName(p)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def closest_entries(df: DataFrame, key: str, vector: str, entries: DataFrame, label: str, k: int, block: int = 2_048) -> DataFrame:
+    """The ``k`` entries (label, vector) of greatest inner product of every row: key, label, score, rank; ties by label.
+
+    Entries go to the tasks in blocks of ``block``, each a broadcast of that many
+    vectors.  Up to one block nothing is shuffled; of several, a row's best of
+    each meet.  Rows and entries without a vector take no part.
+    """
+    spark, parts, held = df.sparkSession, [], []
+    kinds = [(d.schema[c].dataType.simpleString(), to_arrow_type(d.schema[c].dataType)) for d, c in ((df, key), (entries, label))]
+
+    def search(share) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, known = share.value
+            for batch in batches:
+                rows = batch.column(1)
+                if not len(rows):
+                    continue
+                v = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+                s = np.round(v @ known.T, 6)
+                order = np.argsort(-s, axis=1, kind="stable")[:, :k]  # entries come by label
+                n = order.shape[1]
+                at = pa.array(np.repeat(np.arange(len(rows)), n))
+                rank = np.tile(np.arange(1, n + 1, dtype=np.int32), len(rows))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([names[j] for j in order.ravel()], kinds[1][1]), pa.array(np.take_along_axis(s, order, 1).ravel()), pa.array(rank)], names=[key, label, "score", "rank"])
+
+        return df.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"`{key}` {kinds[0][0]}, `{label}` {kinds[1][0]}, score double, rank int")
+
+    def flush() -> None:
+        parts.append(search(spark.sparkContext.broadcast(([h[0] for h in held], np.array([h[1] for h in held], np.float64)))))
+        held.clear()
+
+    for row in entries.where(F.col(vector).isNotNull()).select(label, vector).orderBy(label).toLocalIterator():
+        held.append((row[0], list(row[1])))
+        if len(held) == block:
+            flush()
+    if held:
+        flush()
+    if not parts:
+        return spark.createDataFrame([], f"`{key}` {kinds[0][0]}, `{label}` {kinds[1][0]}, score double, rank int")
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    if len(parts) == 1:
+        return found
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), label))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -44,12 +44,13 @@ def spreads(spark, sf):
 @register("AGG-06", "SELECT event_type, round(median(value), 6) AS median, list(value ORDER BY value)[count(*) // 2 + 1] AS upper_median FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def medians(spark, sf):
     rows = read_table(spark, sf, "events").where("value is not null")
-    # the upper middle element by counting values, so no group is gathered
+    # the middle elements by counting values, so no group is gathered
     per_value = rows.groupBy("event_type", "value").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy("event_type").orderBy("value"))
     total = F.sum("c").over(Window.partitionBy("event_type"))
-    upper = per_value.withColumn("u", upto).withColumn("t", total).where("u > floor(t / 2)").groupBy("event_type").agg(F.min("value").alias("upper_median"))
-    return rows.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median")).join(upper, "event_type")
+    placed = per_value.withColumn("u", upto).withColumn("t", total)
+    lower, upper = F.min(F.when(F.col("u") >= F.floor((F.col("t") + 1) / 2), F.col("value"))), F.min(F.when(F.col("u") > F.floor(F.col("t") / 2), F.col("value")))
+    return placed.groupBy("event_type").agg(F.round((lower + upper) / 2, 6).alias("median"), upper.alias("upper_median"))
 
 
 @register("AGG-07", "SELECT source_title, count(*) AS n FROM chunks GROUP BY 1 ORDER BY n DESC, source_title NULLS LAST LIMIT 10")

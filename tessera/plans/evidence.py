@@ -110,14 +110,14 @@ def accepted_phrases(spark, sf):
 )
 def semantic_gate(spark, sf):
     from tessera.operators.joins import first_per_key
-    from tessera.operators.vector import dot
-
-    rows = read_table(spark, sf, "embeddings")
-    leaves = F.broadcast(first_per_key(rows.select("label", "vec_id", "embedding"), ["label"], [F.col("vec_id")]).agg(F.collect_list(F.struct("label", "embedding")).alias("leaves")))  # one per label
-    pair = F.transform("leaves", lambda x: F.struct((-F.round(dot(F.col("embedding"), x["embedding"]), 6)).alias("s"), x["label"].alias("l")))
-    top = rows.crossJoin(leaves).select("vec_id", F.slice(F.array_sort(pair), 1, 2).alias("t"))
-    best, second = -F.col("t")[0]["s"], -F.col("t")[1]["s"]
-    return top.select("vec_id", F.when(best < 0.3, "low_similarity").when(F.round(best - second, 6) < 0.035, "ambiguous").otherwise("pass").alias("gate"), F.col("t")[0]["l"].alias("label"))
+    from tessera.operators.vector import closest_entries
+
+    rows = read_table(spark, sf, "embeddings").select("label", "vec_id", "embedding")
+    leaves = first_per_key(rows, ["label"], [F.col("vec_id")]).select("label", "embedding")
+    top = closest_entries(rows, "vec_id", "embedding", leaves, "label", 2).groupBy("vec_id")
+    best, second = (F.max(F.when(F.col("rank") == i, F.col("score"))) for i in (1, 2))
+    gate = F.when(best < 0.3, "low_similarity").when(F.round(best - second, 6) < 0.035, "ambiguous").otherwise("pass")
+    return top.agg(gate.alias("gate"), F.max(F.when(F.col("rank") == 1, F.col("label"))).alias("label"))
 
 
 @register("JN-08", "WITH m AS (SELECT image_path, min('https://img.example/' || md5(image_path)) AS url FROM chunks WHERE figure_id IS NOT NULL AND image_path IS NOT NULL GROUP BY 1) SELECT chunk_id, ingested_at, coalesce(m.url, 'proxy:' || c.image_path) AS url, CASE WHEN m.url IS NOT NULL THEN 'public' ELSE 'proxy' END AS mode FROM chunks c LEFT JOIN m USING (image_path) WHERE c.image_path IS NOT NULL")

@@ -92,11 +92,14 @@ def figures_of_hits(spark, sf):
 
     hits = current_rows(read_table(spark, sf, "chunks"), "chunk_id", ["source_id", "page", "image_path"])
     figures = hits.where("image_path is not null")
-    own = figures.select("chunk_id", F.col("image_path").alias("img"), F.lit(1).alias("pass"))
-    page = hits.select("chunk_id", "source_id", "page").join(figures.select("source_id", "page", F.col("image_path").alias("img")), ["source_id", "page"]).select("chunk_id", "img", F.lit(2).alias("pass"))
-    once = own.unionByName(page).groupBy("chunk_id", "img").agg(F.min("pass").alias("pass"))
-    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy("chunk_id").orderBy("pass", "img")))
-    return ranked.where("n <= 3").select("chunk_id", F.col("img").alias("image_path"), "pass")
+    # a hit needs the first three figures of its page besides its own, so a page brings four, however many hits it has
+    first = F.row_number().over(Window.partitionBy("source_id", "page").orderBy("img"))
+    each = figures.where("source_id is not null and page is not null").select("source_id", "page", F.col("image_path").alias("img")).distinct()
+    pages = each.withColumn("n", first).where("n <= 4").groupBy("source_id", "page").agg(F.sort_array(F.collect_list("img")).alias("imgs"))
+    own = F.when(F.col("image_path").isNotNull(), F.array("image_path")).otherwise(F.array().cast("array<string>"))
+    others = F.array_except(F.coalesce("imgs", F.array().cast("array<string>")), own)
+    chosen = hits.join(pages, ["source_id", "page"], "left").select("chunk_id", F.size(own).alias("k"), F.posexplode(F.slice(F.concat(own, others), 1, 3)).alias("n", "image_path"))
+    return chosen.select("chunk_id", "image_path", F.when(F.col("n") < F.col("k"), 1).otherwise(2).alias("pass"))
 
 
 @register("JN-09", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
@@ -152,14 +155,11 @@ def distinct_then_back(spark, sf):
        SELECT vec_id, arg_max(label, (round(s, 6), -label)) AS label, round(max(s), 6) AS score FROM s GROUP BY vec_id""",
 )
 def windows_by_leaves(spark, sf):
-    from tessera.operators.vector import dot
+    from tessera.operators.vector import closest_entries
 
     rows = read_table(spark, sf, "embeddings")
-    leaves = first_per_key(rows, ["label"], [F.col("vec_id")])  # one per label: a fixed small side
-    leaf = F.broadcast(leaves.agg(F.collect_list(F.struct("label", "embedding")).alias("leaves")))
-    scored = rows.crossJoin(leaf).select("vec_id", F.explode(F.transform("leaves", lambda x: F.struct(F.round(dot(F.col("embedding"), x["embedding"]), 6).alias("s"), (-x["label"]).alias("l")))).alias("x"))
-    best = scored.groupBy("vec_id").agg(F.max("x").alias("x"))
-    return best.select("vec_id", (-F.col("x.l")).alias("label"), F.col("x.s").alias("score"))
+    leaves = first_per_key(rows, ["label"], [F.col("vec_id")]).select("label", "embedding")
+    return closest_entries(rows, "vec_id", "embedding", leaves, "label", 1).select("vec_id", "label", "score")
 
 
 @register("JN-21", "SELECT entity_id, query_type, figures FROM canonical_entities CROSS JOIN (SELECT unnest(['name', 'abbreviation', 'organ']) AS query_type) CROSS JOIN (SELECT unnest([true, false]) AS figures) WHERE query_type <> 'abbreviation' OR abbreviation IS NOT NULL")

@@ -162,12 +162,13 @@ def context(spark, sf):
        SELECT vec_id, s[1] AS top1, round(s[1] - s[2], 6) AS margin FROM t""",
 )
 def margin(spark, sf):
-    from tessera.operators.vector import dot
+    from tessera.operators.vector import closest_entries
 
     rows = read_table(spark, sf, "embeddings")
-    leaves = F.broadcast(first_per_key(rows, ["label"], [F.col("vec_id")]).agg(F.collect_list("embedding").alias("leaves")))  # one per label
-    scored = rows.crossJoin(leaves).select("vec_id", F.sort_array(F.transform("leaves", lambda x: F.round(dot(F.col("embedding"), x), 6)), asc=False).alias("s"))
-    return scored.select("vec_id", F.col("s")[0].alias("top1"), F.round(F.col("s")[0] - F.col("s")[1], 6).alias("margin"))
+    leaves = first_per_key(rows, ["label"], [F.col("vec_id")]).select("label", "embedding")
+    top = closest_entries(rows, "vec_id", "embedding", leaves, "label", 2).groupBy("vec_id")
+    best, second = (F.max(F.when(F.col("rank") == i, F.col("score"))) for i in (1, 2))
+    return top.agg(best.alias("top1"), F.round(best - second, 6).alias("margin"))
 
 
 @register(

@@ -10,7 +10,7 @@ from tessera.functions import quality as Q
 from tessera.operators import sampling
 from tessera.operators.joins import range_lookup
 from tessera.operators.sequence import outline
-from tessera.operators.vector import nearest_many
+from tessera.operators.vector import closest_entries, nearest_many
 
 
 def rows(df):
@@ -99,3 +99,17 @@ def test_outline_resets_inner_headings_and_joins_wrapped_lines(spark):
         ("One", "Beta", None, "d", 4),
         ("Two", None, None, "e", 1),
     ]
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_closest_entries_against_all_pairs(spark, block):
+    rng = np.random.default_rng(4)
+    v, e = (rng.integers(-3, 4, (n, 3)).astype(float) for n in (25, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "id int, v array<double>")
+    entries = spark.createDataFrame([(f"e{i}", x.tolist()) for i, x in enumerate(e)], "name string, v array<double>")
+    want = []
+    for i, x in enumerate(v):
+        best = sorted(range(8), key=lambda j: (-round(float(e[j] @ x), 6), f"e{j}"))[:2]
+        want += [(i, f"e{j}", round(float(e[j] @ x), 6), n + 1) for n, j in enumerate(best)]
+    assert rows(closest_entries(df, "id", "v", entries, "name", 2, block)) == sorted(want, key=repr)
+    assert closest_entries(df, "id", "v", entries.limit(0), "name", 2).count() == 0

@@ -84,7 +84,8 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, seed: int = 7, window: int
     tokens of all documents.  Documents of sources without target, and null
     sources, get no copy; a target without documents ends at share 0.  The
     report has source, target_share, max_repeats, documents, available_tokens,
-    target_tokens, mixed_documents, mixed_tokens and actual_share.
+    target_tokens, mixed_documents, mixed_tokens, off_by (tokens over the target,
+    negative if under) and actual_share.
     """
     spark = sizes.sparkSession
     kept = cut_lineage(sizes.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("tokens").cast("bigint"), F.lit(0)).alias("tokens")))
@@ -128,6 +129,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, seed: int = 7, window: int
         .select(F.coalesce("s.source", "g.source").alias("source"), "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"), "target_tokens")
         .join(mixed, "source", "left")
         .na.fill(0, ["mixed_documents", "mixed_tokens"])
+        .withColumn("off_by", F.col("mixed_tokens") - F.col("target_tokens"))
         .withColumn("actual_share", F.round(F.try_divide(F.col("mixed_tokens"), F.lit(total)), 6))
     )
     return mix, report

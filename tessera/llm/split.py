@@ -75,15 +75,15 @@ def cut_text(text: str, limit: int = 1200, overlap: int = 120) -> list[tuple[int
     """Pieces of ``text`` as (start, end) offsets in characters.
 
     Each is at most ``limit`` long, together they cover the text, and two
-    consecutive ones share at most ``overlap`` characters.  Should the overlap
-    be so near the limit that no balanced plan of up to twice the least count
-    holds, pieces are filled from the front instead.
+    consecutive ones share at most ``overlap`` characters.  Pieces are added
+    until a plan holds.  Only where the overlap is so near the limit that none
+    does, whatever the count, are pieces filled from the front.
     """
     n = len(text)
     if n <= limit:
         return [(0, n)]
     least = 1 + math.ceil((n - limit) / (limit - overlap))
-    for count in range(least, 2 * least + 2):
+    for count in range(least, n + 1):
         if plan := _balanced(text, count, limit, overlap):
             return plan
     pieces, start, end = [], 0, 0

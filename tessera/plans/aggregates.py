@@ -92,13 +92,6 @@ def bounded_collect(spark, sf):
     return rows.groupBy("primary_tag").agg(F.count("*").alias("n")).join(some, "primary_tag")
 
 
-@register("AGG-13", "WITH w AS (SELECT unnest(list_filter(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')) AS w FROM documents) SELECT w AS term, sum(CASE WHEN w LIKE '%oma' THEN 5 WHEN length(w) > 6 THEN 3 ELSE 1 END)::BIGINT AS weight FROM w GROUP BY w")
-def weighted_terms(spark, sf):
-    words = read_table(spark, sf, "documents").select(F.explode(T.tokens(F.col("title"))).alias("term"))
-    weight = F.when(F.col("term").endswith("oma"), 5).when(F.length("term") > 6, 3).otherwise(1)
-    return words.groupBy("term").agg(F.sum(weight).alias("weight"))
-
-
 @register("AGG-14", "SELECT tag_root, sum(CASE source WHEN 'textbooks' THEN 5 WHEN 'lectures' THEN 4 WHEN 'pathout' THEN 3 ELSE 1 END)::BIGINT AS weight FROM records GROUP BY 1")
 def source_weights(spark, sf):
     w = F.when(F.col("source") == "textbooks", 5).when(F.col("source") == "lectures", 4).when(F.col("source") == "pathout", 3).otherwise(1)

@@ -102,24 +102,6 @@ def accepted_phrases(spark, sf):
     return words.where((F.length("word") >= 3) & ~F.col("word").isin("the", "cell")).join(common, "word", "left_anti").select("entity_id", "word")
 
 
-@register(
-    "FLT-28",
-    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label),
-            s AS (SELECT e.vec_id, c.label, round(list_dot_product(e.v, x.v), 6) AS s FROM e CROSS JOIN c JOIN e x ON x.vec_id = c.vec_id), t AS (SELECT vec_id, list({'s': s, 'l': label} ORDER BY s DESC, label) AS t FROM s GROUP BY vec_id)
-       SELECT vec_id, CASE WHEN t[1].s < 0.3 THEN 'low_similarity' WHEN round(t[1].s - t[2].s, 6) < 0.035 THEN 'ambiguous' ELSE 'pass' END AS gate, t[1].l AS label FROM t""",
-)
-def semantic_gate(spark, sf):
-    from tessera.operators.joins import first_per_key
-    from tessera.operators.vector import closest_entries
-
-    rows = read_table(spark, sf, "embeddings").select("label", "vec_id", "embedding")
-    leaves = first_per_key(rows, ["label"], [F.col("vec_id")]).select("label", "embedding")
-    top = closest_entries(rows, "vec_id", "embedding", leaves, "label", 2).groupBy("vec_id")
-    best, second = (F.max(F.when(F.col("rank") == i, F.col("score"))) for i in (1, 2))
-    gate = F.when(best < 0.3, "low_similarity").when(F.round(best - second, 6) < 0.035, "ambiguous").otherwise("pass")
-    return top.agg(gate.alias("gate"), F.max(F.when(F.col("rank") == 1, F.col("label"))).alias("label"))
-
-
 @register("JN-08", "WITH m AS (SELECT image_path, min('https://img.example/' || md5(image_path)) AS url FROM chunks WHERE figure_id IS NOT NULL AND image_path IS NOT NULL GROUP BY 1) SELECT chunk_id, ingested_at, coalesce(m.url, 'proxy:' || c.image_path) AS url, CASE WHEN m.url IS NOT NULL THEN 'public' ELSE 'proxy' END AS mode FROM chunks c LEFT JOIN m USING (image_path) WHERE c.image_path IS NOT NULL")
 def public_urls(spark, sf):
     rows = read_table(spark, sf, "chunks").where("image_path is not null")

@@ -72,29 +72,6 @@ def figures_by_source(spark, sf):
     return read_table(spark, sf, "chunks").where(F.col("image_path").isNotNull() & F.col("source_id").startswith("book_0")).select("chunk_id", "ingested_at")
 
 
-@register("FLT-09", "SELECT doc_id, NOT (contains(lower(text), 'pancrea') AND NOT contains(lower(text), 'liver')) AND regexp_matches(lower(text), 'carcinoma|fibroma') AS kept FROM documents")
-def on_topic(spark, sf):
-    low = F.lower("text")
-    off = F.contains(low, F.lit("pancrea")) & ~F.contains(low, F.lit("liver"))
-    return read_table(spark, sf, "documents").select("doc_id", (~off & low.rlike("carcinoma|fibroma")).alias("kept"))
-
-
-
-
-@register(
-    "FLT-13",
-    """WITH p AS (SELECT package_id, least(greatest(max(coalesce(end_sec, start_sec)) * 0.025, 80), 160) AS opening, max(coalesce(end_sec, start_sec)) - 80 AS closing FROM segments_indexable GROUP BY package_id)
-       SELECT segment_id, ingested_at, start_sec <= opening OR start_sec >= closing OR len(string_split(text, ' ')) < 5 AS housekeeping FROM segments_indexable JOIN p USING (package_id)""",
-)
-def housekeeping(spark, sf):
-    rows = read_table(spark, sf, "segments_indexable")
-    end = F.max(F.coalesce("end_sec", "start_sec"))
-    spans = rows.groupBy("package_id").agg(F.least(F.greatest(end * 0.025, F.lit(80)), F.lit(160)).alias("opening"), (end - 80).alias("closing"))
-    start = F.col("start_sec")
-    flag = (start <= F.col("opening")) | (start >= F.col("closing")) | (F.size(F.split("text", " ")) < 5)
-    return rows.join(spans, "package_id").select("segment_id", "ingested_at", flag.alias("housekeeping"))
-
-
 @register("FLT-16", "SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size > 40 THEN 'wide' END, CASE WHEN p_size < 5 THEN 'tiny' END, CASE WHEN p_retailprice / p_size > 200 THEN 'strip' END], lambda x: x IS NOT NULL), ',') AS flags FROM part")
 def flags(spark, sf):
     found = F.filter(F.array(F.when(F.col("p_size") > 40, "wide"), F.when(F.col("p_size") < 5, "tiny"), F.when(F.col("p_retailprice") / F.col("p_size") > 200, "strip")), lambda x: x.isNotNull())

@@ -31,18 +31,6 @@ def dark_samples(spark, sf):
 _TERMS = ("carcinoma", "necrosis", "margin")
 
 
-@register(
-    "RNK-05",
-    "SELECT doc_id, round(least(1.0, CASE WHEN contains(lower(title), 'fibroma') THEN 0.56 ELSE 0 END + 0.16 * (coalesce(contains(lower(text), 'carcinoma'), false)::INT + coalesce(contains(lower(text), 'necrosis'), false)::INT + coalesce(contains(lower(text), 'margin'), false)::INT) + CASE WHEN root = 'GI' THEN 0.12 ELSE 0 END), 6) AS score FROM documents",
-)
-def candidate_score(spark, sf):
-    hits = F.lit(0)
-    for t in _TERMS:
-        hits = hits + F.coalesce(F.contains(F.lower("text"), F.lit(t)), F.lit(False)).cast("int")
-    score = F.when(F.contains(F.lower("title"), F.lit("fibroma")), 0.56).otherwise(0.0) + 0.16 * hits + F.when(F.col("root") == "GI", 0.12).otherwise(0.0)
-    return read_table(spark, sf, "documents").select("doc_id", F.round(F.least(F.lit(1.0), score), 6).alias("score"))
-
-
 @register("RNK-09", "SELECT tag_id, CASE WHEN starts_with(primary_tag, 'GI::Colon') THEN 0.2 WHEN starts_with(primary_tag, 'GI::') THEN round(0.2 * (1 - 0.12), 6) WHEN starts_with(primary_tag, 'HN::') THEN round(0.2 * (1 - 0.24), 6) ELSE 0.0 END::DOUBLE AS bonus FROM canonical_tags")
 def prior_bonus(spark, sf):
     tag, bonus = F.col("primary_tag"), F.lit(0.0)
@@ -51,18 +39,6 @@ def prior_bonus(spark, sf):
     return read_table(spark, sf, "canonical_tags").select("tag_id", bonus.alias("bonus"))
 
 
-@register("RNK-10", "WITH h AS (SELECT record_id, source, CASE source WHEN 'textbooks' THEN 0 WHEN 'pathout' THEN 1 WHEN 'lectures' THEN 2 ELSE 3 END AS p, primary_tag FROM records WHERE primary_tag IS NOT NULL AND tag_root IS NOT NULL) SELECT source, arg_min(primary_tag, (p, record_id, primary_tag)) AS chosen FROM h GROUP BY source")
-def priority_choice(spark, sf):
-    p = F.when(F.col("source") == "textbooks", 0).when(F.col("source") == "pathout", 1).when(F.col("source") == "lectures", 2).otherwise(3)
-    rows = read_table(spark, sf, "records").where("primary_tag is not null and tag_root is not null").withColumn("p", p)
-    return rows.groupBy("source").agg(F.min_by("primary_tag", F.struct("p", "record_id", "primary_tag")).alias("chosen"))
-
-
-@register("EVL-07", "SELECT doc_id, regexp_extract(text, '([A-Z][^.]*mitos[^.]*[.])', 1) AS fact FROM documents")
-def key_fact(spark, sf):
-    return read_table(spark, sf, "documents").select("doc_id", F.regexp_extract("text", "([A-Z][^.]*mitos[^.]*[.])", 1).alias("fact"))
-
-
 @register(
     "ORC-03",
     """WITH s AS (SELECT package_id, count(*) AS segments, min(video_url) AS video FROM segments_indexable GROUP BY 1)
@@ -80,16 +56,6 @@ def package_summary(spark, sf):
     return read_table(spark, sf, "segments_indexable").groupBy("package_id").agg(F.count("*").alias("segments"), F.countDistinct("primary_tag").alias("tags"), F.array_join(F.slice(tags, 1, 10), ",").alias("first_tags"))
 
 
-@register(
-    "ORC-05",
-    """WITH ev AS (SELECT primary_tag, count(*) AS n, arg_max(title, (length(title), title)) AS best FROM records WHERE primary_tag IS NOT NULL GROUP BY 1)
-       SELECT t.tag_id, coalesce(ev.n, 0) AS evidence, coalesce(ev.best, '') AS heading, ev.n IS NOT NULL AS ok FROM canonical_tags t LEFT JOIN ev USING (primary_tag)""",
-)
-def page_prebuild(spark, sf):
-    evidence = read_table(spark, sf, "records").where("primary_tag is not null").groupBy("primary_tag").agg(F.count("*").alias("n"), F.max_by("title", F.struct(F.length("title"), F.col("title"))).alias("best"))
-    return read_table(spark, sf, "canonical_tags").join(evidence, "primary_tag", "left").select("tag_id", F.coalesce("n", F.lit(0)).alias("evidence"), F.coalesce("best", F.lit("")).alias("heading"), F.col("n").isNotNull().alias("ok"))
-
-
 @register("ORC-06", "SELECT source, variant, count(*) AS n FROM (SELECT source, 'off' AS variant FROM documents UNION ALL SELECT source, 'on' FROM documents WHERE root IS NULL OR root = 'GI') GROUP BY ALL")
 def flag_comparison(spark, sf):
     kept = F.when(F.col("root").isNull() | (F.col("root") == "GI"), F.array(F.lit("off"), F.lit("on"))).otherwise(F.array(F.lit("off")))

@@ -483,3 +483,172 @@ def context_match(spark, sf):
     scored = met.withColumn("raw", raw).where("raw >= 0.5").select("value", "page", "entity_id", F.round("raw", 6).alias("score"))
     best = scored.groupBy("value", "page").agg(F.max(F.struct("score", (-F.col("entity_id")).alias("n"))).alias("x"))
     return best.select("value", "page", (-F.col("x.n")).alias("entity_id"), F.col("x.score").alias("score"))
+
+
+# --- topics, gates and phrases
+
+
+_POSITIVE, _BLOCKED = ("colon", "colorectal", "rectal", "bowel"), ("breast", "prostate", "salivary", "cervix", "thyroid")
+_GENES = r"\bagent [A-Z]+[0-9]+-[0-9]+"
+
+
+@register(
+    "FLT-09",
+    f"""WITH t AS (SELECT doc_id, lower(coalesce(title, '') || ' ' || coalesce(text, '')) AS t, regexp_matches(coalesce(text, ''), '{_GENES}') AS gene FROM documents)
+       SELECT doc_id, CASE WHEN gene THEN 'kept, gene' WHEN regexp_matches(t, '{'|'.join(_BLOCKED)}') AND NOT regexp_matches(t, '{'|'.join(_POSITIVE)}') THEN 'other organ' WHEN NOT regexp_matches(t, '{'|'.join(TERMS)}') THEN 'no distinctive word' ELSE 'kept' END AS outcome FROM t""",
+)
+def on_topic(spark, sf):
+    """Which texts speak of what was asked: those on genes always, none of other organs alone, none without a distinctive word."""
+    t = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))))
+    rows = read_table(spark, sf, "documents").select("doc_id", t.alias("t"), F.coalesce("text", F.lit("")).rlike(_GENES).alias("gene"))
+    other = F.col("t").rlike("|".join(_BLOCKED)) & ~F.col("t").rlike("|".join(_POSITIVE))
+    return rows.select("doc_id", F.when(F.col("gene"), "kept, gene").when(other, "other organ").when(~F.col("t").rlike("|".join(TERMS)), "no distinctive word").otherwise("kept").alias("outcome"))
+
+
+@register(
+    "FLT-13",
+    f"""WITH p AS (SELECT package_id, least(greatest(max(coalesce(end_sec, start_sec)) * 0.025, 80), 160) AS opening, max(coalesce(end_sec, start_sec)) - 80 AS closing FROM segments_indexable GROUP BY package_id)
+       SELECT segment_id, ingested_at, CASE WHEN start_sec <= opening THEN 'opening' WHEN start_sec >= closing THEN 'closing' WHEN regexp_matches(coalesce(text, ''), '{_sql(Q.any_of(Q.HOUSEKEEPING))}') THEN 'cue' WHEN text IS NULL OR len(string_split(trim(text), ' ')) < 5 THEN 'few words' END AS housekeeping
+       FROM segments_indexable JOIN p USING (package_id)""",
+)
+def housekeeping(spark, sf):
+    """Segments at either end of a lecture, with a cue of housekeeping, or of few words."""
+    rows = read_table(spark, sf, "segments_indexable")
+    end = F.max(F.coalesce("end_sec", "start_sec"))
+    spans = rows.groupBy("package_id").agg(F.least(F.greatest(end * 0.025, F.lit(80)), F.lit(160)).alias("opening"), (end - 80).alias("closing"))
+    start, text = F.col("start_sec"), F.col("text")
+    why = F.when(start <= F.col("opening"), "opening").when(start >= F.col("closing"), "closing").when(F.coalesce(text, F.lit("")).rlike(Q.any_of(Q.HOUSEKEEPING)), "cue").when(text.isNull() | (F.size(F.split(F.trim(text), " ")) < 5), "few words")
+    return rows.join(spans, "package_id").select("segment_id", "ingested_at", why.alias("housekeeping"))
+
+
+@register(
+    "FLT-28",
+    """WITH e AS (SELECT vec_id, label AS prior, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label),
+       s AS (SELECT e.vec_id, e.prior, c.label, round(list_dot_product(e.v, x.v), 6) AS s FROM e CROSS JOIN c JOIN e x ON x.vec_id = c.vec_id),
+       t AS (SELECT vec_id, prior, list({'s': s, 'l': label} ORDER BY s DESC, label) AS t FROM s GROUP BY vec_id, prior)
+       SELECT vec_id, t[1].l AS label, CASE WHEN t[1].s < 0.3 THEN 'low similarity' WHEN t[1].l <> prior AND t[1].s < 0.3 + 0.08 THEN 'off prior, weak' WHEN t[1].l <> prior AND t[1].s - t[2].s < 0.02 THEN 'off prior, close'
+         WHEN round(t[1].s - t[2].s, 6) < 0.035 AND t[1].l // 4 <> t[2].l // 4 THEN 'ambiguous' WHEN t[1].l <> prior AND t[1].s < 0.3 + 0.06 THEN 'no signal' ELSE 'pass' END AS gate FROM t""",
+)
+def semantic_gate(spark, sf):
+    """The nearest leaf of a row and the first reason to refuse it; near leaves of one branch don't make it ambiguous."""
+    from tessera.operators.joins import first_per_key
+    from tessera.operators.vector import closest_entries
+
+    rows = read_table(spark, sf, "embeddings").select("label", "vec_id", "embedding")
+    leaves = first_per_key(rows, ["label"], [F.col("vec_id")]).select("label", "embedding")
+    top = closest_entries(rows, "vec_id", "embedding", leaves, "label", 2).groupBy("vec_id")
+    pick = lambda i, c: F.max(F.when(F.col("rank") == i, F.col(c)))
+    both = top.agg(pick(1, "score").alias("a"), pick(2, "score").alias("b"), pick(1, "label").alias("l"), pick(2, "label").alias("m"))
+    known = both.join(rows.select("vec_id", F.col("label").alias("prior")), "vec_id")
+    off, margin = F.col("l") != F.col("prior"), F.col("a") - F.col("b")
+    gate = F.when(F.col("a") < 0.3, "low similarity").when(off & (F.col("a") < 0.3 + 0.08), "off prior, weak").when(off & (margin < 0.02), "off prior, close")
+    gate = gate.when((F.round(margin, 6) < 0.035) & (F.floor(F.col("l") / 4) != F.floor(F.col("m") / 4)), "ambiguous").when(off & (F.col("a") < 0.3 + 0.06), "no signal").otherwise("pass")
+    return known.select("vec_id", F.col("l").alias("label"), gate.alias("gate"))
+
+
+_SIGNALS = ("cyst", "polyp", "fibroma", "carcinoma", "sarcoma", "lymphoma", "granuloma", "xanthoma")
+
+
+@register(
+    "AGG-13",
+    f"""WITH d AS (SELECT root, string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents WHERE title IS NOT NULL AND root IS NOT NULL),
+       g AS (SELECT root, unnest(w) AS phrase, 1 AS n FROM d UNION ALL SELECT root, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))), 2 FROM d UNION ALL SELECT root, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))), 3 FROM d),
+       l AS (SELECT DISTINCT lower(replace(split_part(primary_tag, '::', 3), '_', ' ')) AS phrase FROM canonical_tags),
+       s AS (SELECT root, phrase, sum(CASE n WHEN 1 THEN CASE WHEN phrase IN {_SIGNALS} THEN CASE WHEN length(phrase) >= 8 THEN 5 ELSE 3 END ELSE 0 END WHEN 2 THEN 2 ELSE 3 END) + CASE WHEN phrase IN (SELECT phrase FROM l) THEN 1000 ELSE 0 END AS weight FROM g WHERE phrase <> '' GROUP BY root, phrase),
+       t AS (SELECT * FROM s WHERE weight > 0 QUALIFY row_number() OVER (PARTITION BY root ORDER BY weight DESC, phrase) <= 15),
+       k AS (SELECT root, list_reduce(list(phrase ORDER BY weight DESC, phrase), lambda a, x: CASE WHEN len(list_filter(string_split(a, '|'), lambda y: contains(y, x) OR contains(x, y))) > 0 THEN a ELSE a || '|' || x END) AS kept FROM t GROUP BY root)
+       SELECT root, array_to_string(string_split(kept, '|')[1:5], '|') AS phrases FROM k""",
+)
+def weighted_phrases(spark, sf):
+    """The five phrases that weigh most in a root's titles, none within another: words that signal, pairs, triples, and leaves far above all."""
+    words = F.split(T.normalize(F.col("title")), " ")
+    rows = read_table(spark, sf, "documents").where("title is not null and root is not null").select("root", words.alias("w"))
+    weight = lambda x: F.when(x.isin(*_SIGNALS), F.when(F.length(x) >= 8, 5).otherwise(3)).otherwise(0)
+    grams = [F.transform("w", lambda x: F.struct(x.alias("phrase"), weight(x).alias("v")))]
+
+    def of(n: int):
+        size = F.greatest(F.size("w") - n + 1, F.lit(0))
+        starts = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.array_join(F.slice("w", i, n), " ").alias("phrase"), F.lit(n).alias("v")))
+
+    grams += [of(2), of(3)]
+    counted = rows.select("root", F.explode(F.concat(*grams)).alias("g")).where("g.phrase <> ''").groupBy("root", "g.phrase").agg(F.sum("g.v").alias("v"))
+    leaves = read_table(spark, sf, "canonical_tags").select(F.lower(F.replace(F.element_at(F.split("primary_tag", "::"), 3), F.lit("_"), F.lit(" "))).alias("phrase")).distinct().withColumn("leaf", F.lit(1000))
+    scored = counted.join(F.broadcast(leaves), "phrase", "left").select("root", "phrase", (F.col("v") + F.coalesce("leaf", F.lit(0))).alias("v")).where("v > 0")
+    top = scored.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy(F.desc("v"), "phrase"))).where("n <= 15")
+    listed = top.groupBy("root").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "phrase"))), lambda x: x["phrase"]).alias("l"))
+    kept = F.aggregate("l", F.array().cast("array<string>"), lambda a, x: F.when(F.exists(a, lambda y: F.contains(y, x) | F.contains(x, y)), a).otherwise(F.concat(a, F.array(x))))
+    return listed.select("root", F.array_join(F.slice(kept, 1, 5), "|").alias("phrases"))
+
+
+_CLUSTER = ("carcinoma", "necrosis", "margin")
+
+
+@register(
+    "RNK-05",
+    f"""WITH h AS (SELECT doc_id, lower(coalesce(text, '')) AS t, lower(coalesce(title, '')) AS title, root, source, doc_kind, {' + '.join(f"contains(lower(coalesce(text, '')), '{c}')::INT" for c in _CLUSTER)} AS hits FROM documents),
+       s AS (SELECT doc_id, CASE WHEN doc_kind = 'stub' THEN 0 ELSE least(1.0, CASE WHEN contains(t, 'squamous carcinoma') OR contains(title, 'carcinoma') THEN 0.56 ELSE 0 END + CASE WHEN hits = 3 THEN 0.28 WHEN hits = 2 THEN 0.18 ELSE 0 END
+         + CASE WHEN root = 'GI' THEN 0.16 ELSE 0 END + CASE WHEN {' OR '.join(f"contains(title, '{c}')" for c in _CLUSTER)} THEN 0.12 ELSE 0 END + CASE WHEN source IS NULL THEN 0.04 ELSE 0 END) END AS s FROM h)
+       SELECT doc_id, round(s, 6)::DOUBLE AS score, CASE WHEN round(s, 6) >= 0.9 THEN 'high' WHEN round(s, 6) >= 0.7 THEN 'medium' ELSE 'low' END AS band FROM s""",
+)
+def candidate_score(spark, sf):
+    """How well a document fits a tag: its phrase, its cluster of words, root, title, and whether it has a source already."""
+    text, title = F.lower(F.coalesce("text", F.lit(""))), F.lower(F.coalesce("title", F.lit("")))
+    hits = reduce(add, (F.contains(text, F.lit(c)).cast("int") for c in _CLUSTER))
+    exact = F.contains(text, F.lit("squamous carcinoma")) | F.contains(title, F.lit("carcinoma"))
+    part = lambda c, v: F.when(c, v).otherwise(0.0)
+    score = part(exact, 0.56) + F.when(hits == 3, 0.28).when(hits == 2, 0.18).otherwise(0.0) + part(F.col("root") == "GI", 0.16) + part(title.rlike("|".join(_CLUSTER)), 0.12) + part(F.col("source").isNull(), 0.04)
+    rows = read_table(spark, sf, "documents").select("doc_id", F.round(F.when(F.col("doc_kind") == "stub", 0.0).otherwise(F.least(F.lit(1.0), score)), 6).alias("score"))
+    return rows.select("doc_id", "score", F.when(F.col("score") >= 0.9, "high").when(F.col("score") >= 0.7, "medium").otherwise("low").alias("band"))
+
+
+_PRIORITY = ("textbooks", "pathout", "lectures")
+
+
+@register(
+    "RNK-10",
+    f"""WITH h AS (SELECT title, primary_tag, coalesce(tag_authority = 'curriculum', false) AS strong, coalesce(list_position({list(_PRIORITY)}, source), 9) AS p, record_id FROM records WHERE primary_tag IS NOT NULL AND tag_root IS NOT NULL AND title IS NOT NULL)
+       SELECT title, arg_min(primary_tag, (NOT strong, p, record_id, primary_tag)) AS chosen, count(*) FILTER (WHERE strong) AS strong FROM h GROUP BY title""",
+)
+def priority_choice(spark, sf):
+    """Of a title's tags a strong one first, then by the order of sources."""
+    p = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(x) for x in _PRIORITY)), F.col("source")), F.lit(0)), F.lit(9))
+    strong = F.coalesce(F.col("tag_authority") == "curriculum", F.lit(False))
+    rows = read_table(spark, sf, "records").where("primary_tag is not null and tag_root is not null and title is not null").select("title", "primary_tag", "record_id", p.alias("p"), strong.alias("strong"))
+    return rows.groupBy("title").agg(F.min_by("primary_tag", F.struct((~F.col("strong")).alias("w"), "p", "record_id", "primary_tag")).alias("chosen"), F.count_if("strong").alias("strong"))
+
+
+_FACT = "([A-Z][^.]*mitos[^.]*[.])"
+
+
+@register(
+    "EVL-07",
+    f"""WITH d AS (SELECT source, doc_id, regexp_extract(coalesce(text, ''), '{_FACT}', 1) AS fact, substr(text, 1, 60) AS e FROM documents WHERE source IS NOT NULL),
+       r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM d WHERE e IS NOT NULL)
+       SELECT s.source, coalesce((SELECT arg_min(fact, doc_id) FROM d WHERE d.source = s.source AND fact <> ''), (SELECT string_agg(e, ' | ' ORDER BY n) FROM r WHERE r.source = s.source AND n <= 8)) AS facts FROM (SELECT DISTINCT source FROM d) s""",
+)
+def key_facts(spark, sf):
+    """A source's first sentence on what was asked, or the beginnings of its first eight texts."""
+    rows = read_table(spark, sf, "documents").where("source is not null").select("source", "doc_id", F.regexp_extract(F.coalesce("text", F.lit("")), _FACT, 1).alias("fact"), F.substring("text", 1, 60).alias("e"))
+    facts = rows.groupBy("source").agg(F.min_by(F.when(F.col("fact") != "", F.col("fact")), F.when(F.col("fact") != "", F.col("doc_id"))).alias("fact"))
+    first = rows.where("e is not null").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("n <= 8")
+    texts = first.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "e"))), lambda x: x["e"]), " | ").alias("texts"))
+    return facts.join(texts, "source", "left").select("source", F.coalesce("fact", "texts").alias("facts"))
+
+
+@register(
+    "ORC-05",
+    """WITH ev AS (SELECT primary_tag, record_id, source, row_number() OVER (PARTITION BY primary_tag ORDER BY source, record_id) AS n, count(*) OVER (PARTITION BY primary_tag) AS total FROM (SELECT DISTINCT primary_tag, record_id, source FROM records WHERE primary_tag IS NOT NULL AND source IS NOT NULL)),
+       p AS (SELECT primary_tag, string_agg(record_id, ',' ORDER BY n) AS cards, max(total) AS evidence FROM ev WHERE n <= 3 GROUP BY 1), b AS (SELECT primary_tag, count(DISTINCT source) AS sources FROM ev GROUP BY 1)
+       SELECT t.tag_id, lower(replace(array_to_string(list_slice(string_split(t.primary_tag, '::'), -2, -1), ' '), '_', ' ')) AS query, coalesce(cards, '') AS cards, coalesce(evidence, 0) AS evidence, coalesce(sources, 0) AS sources, cards IS NOT NULL AS ok
+       FROM canonical_tags t LEFT JOIN p USING (primary_tag) LEFT JOIN b USING (primary_tag)""",
+)
+def pages(spark, sf):
+    """A page per tag: the query it stands for, its first three records, what they were chosen from, and whether there is an answer."""
+    records = read_table(spark, sf, "records").where("primary_tag is not null and source is not null").select("primary_tag", "record_id", "source").distinct()
+    counts = records.groupBy("primary_tag").agg(F.count("*").alias("evidence"), F.countDistinct("source").alias("sources"))
+    first = records.withColumn("n", F.row_number().over(Window.partitionBy("primary_tag").orderBy("source", "record_id"))).where("n <= 3")
+    cards = first.groupBy("primary_tag").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "record_id"))), lambda x: x["record_id"]), ",").alias("cards"))
+    query = F.lower(F.replace(F.array_join(F.slice(F.split("primary_tag", "::"), -2, 2), " "), F.lit("_"), F.lit(" ")))
+    tags = read_table(spark, sf, "canonical_tags").select("tag_id", "primary_tag", query.alias("query"))
+    return tags.join(counts, "primary_tag", "left").join(cards, "primary_tag", "left").select("tag_id", "query", F.coalesce("cards", F.lit("")).alias("cards"), F.coalesce("evidence", F.lit(0)).alias("evidence"), F.coalesce("sources", F.lit(0)).alias("sources"), F.col("cards").isNotNull().alias("ok"))

@@ -104,7 +104,7 @@ def test_stretches_sharing_a_hash_are_told_apart(spark, monkeypatch):
 
     docs = corpus(2)
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
-    monkeypatch.setattr(spans, "stretch_hashes", lambda codes, least: gram_hashes(codes, least).view(np.int64) % 3)
+    monkeypatch.setattr(spans, "stretch_hashes", lambda codes, least: gram_hashes(codes, least).view(np.int64) % 997)
     shared = SharedSpans(df, "doc_id", "text", least=40, most=2)
     pairs, covered = plain(docs, 40)
     assert sorted(map(tuple, shared.pairs().collect())) == pairs

@@ -297,3 +297,18 @@ def refreshed(spark, sf):
     held.publish(read_table(spark, sf, "nation").select(F.col("n_name").alias("name")), "v2")
     rows.append(("second", held.table().count(), held.reads))
     return spark.createDataFrame(rows, "stamp string, n bigint, reads int")
+
+
+@register("SRC-11", "SELECT r_name AS name, 'copied' AS first, 'kept' AS again, 'copied' AS changed, 'kept' AS gone, length(r_name) + 1 AS length FROM region")
+def fetched(spark, sf):
+    path, rows = work_folder(spark), []
+    for r in _regions(spark, sf):
+        source = f"{path}/from/{r['r_regionkey']}.txt"
+        sinks.write_bytes(spark, source, r["r_name"].encode())
+        steps = [sinks.fetch(spark, source, f"{path}/cache", "newer")[1], sinks.fetch(spark, source, f"{path}/cache", "newer")[1]]
+        sinks.write_bytes(spark, source, (r["r_name"] + "!").encode())
+        steps.append(sinks.fetch(spark, source, f"{path}/cache", "newer")[1])
+        sinks.archive(spark, [source], f"{path}/away")
+        held, last = sinks.fetch(spark, source, f"{path}/cache", "keep")
+        rows.append((r["r_name"], *steps, last, len(spark.read.text(held, wholetext=True).first()[0])))
+    return spark.createDataFrame(rows, "name string, first string, again string, changed string, gone string, length bigint")

@@ -212,3 +212,28 @@ def frames(steps: Iterable, result: Callable) -> Iterator[str]:
             yield frame("error", {"error": type(e).__name__, "message": str(e)})
 
     return run()
+
+
+def fetch(spark: SparkSession, source: str, cache: str, policy: str = "newer") -> tuple[str, str]:
+    """(path of the cached copy of a file, what was done: ``copied`` or ``kept``).
+
+    Policies: ``keep`` a copy that is there, copy if the source is ``newer`` than
+    it or of another length, copy ``always``.  A missing source with a copy gives
+    the copy unless the policy is ``always``.
+    """
+    if policy not in ("keep", "newer", "always"):
+        raise ValueError(f"unknown policy {policy}")
+    fs, p, path = _fs(spark, source)
+    target = path(f"{cache.rstrip('/')}/{p.getName()}")
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = store.exists(target)
+    if held and policy != "always":
+        if policy == "keep" or not fs.exists(p):
+            return str(target), "kept"
+        a, b = fs.getFileStatus(p), store.getFileStatus(target)
+        if a.getModificationTime() <= b.getModificationTime() and a.getLen() == b.getLen():
+            return str(target), "kept"
+    if not fs.exists(p):
+        raise FileNotFoundError(source)
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, store, target, False, True, spark.sparkContext._jsc.hadoopConfiguration())
+    return str(target), "copied"

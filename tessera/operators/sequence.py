@@ -94,16 +94,39 @@ def _windows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["entity", "window_start", "window_end", "n_rows", "n_chars"])
 
 
-def neighbour_context(df: DataFrame, partition: str, order: Sequence[str], text: str, most: int = 700) -> DataFrame:
+def beside(df: DataFrame, entity: str, order: Sequence[str], column: str, place: Column | None = None) -> DataFrame:
+    """Adds ``_before`` and ``_after``: ``column`` of the rows before and after each in its entity's order.
+
+    ``place``, a number that never falls in that order, cuts an entity into
+    stretches that are tasks of their own; only the ends of stretches, a row
+    each, meet in the order of the whole entity.
+    """
+    if place is None:
+        over = Window.partitionBy(entity).orderBy(*order)
+        return df.withColumns({"_before": F.lag(column).over(over), "_after": F.lead(column).over(over)})
+    rows = df.withColumn("_place", place)
+    key = F.struct(*order)
+    ends = rows.groupBy(F.col(entity).alias("_e"), F.col("_place").alias("_q")).agg(F.min_by(F.struct(column), key).alias("_first"), F.max_by(F.struct(column), key).alias("_last"))
+    whole = Window.partitionBy("_e").orderBy("_q")
+    ends = ends.select("_e", "_q", F.lag("_last").over(whole).alias("_prior"), F.lead("_first").over(whole).alias("_next"))
+    joined = rows.join(ends, F.col(entity).eqNullSafe(F.col("_e")) & F.col("_place").eqNullSafe(F.col("_q")))
+    over = Window.partitionBy(entity, "_place").orderBy(*order)
+    n, of = F.row_number().over(over), F.count(F.lit(1)).over(Window.partitionBy(entity, "_place"))
+    before = F.when(n == 1, F.col(f"_prior.{column}")).otherwise(F.lag(column).over(over))
+    after = F.when(n == of, F.col(f"_next.{column}")).otherwise(F.lead(column).over(over))
+    return joined.withColumns({"_before": before, "_after": after}).drop("_place", "_e", "_q", "_prior", "_next")
+
+
+def neighbour_context(df: DataFrame, partition: str, order: Sequence[str], text: str, most: int = 700, place: Column | None = None) -> DataFrame:
     """Adds ``context``: the previous, own and next text of each row, parted by single spaces.
 
     When that is over ``most`` letters the own text stays whole; the previous
     keeps its end, of at most half the room, the next its beginning.  Texts are
     stripped; null and blank ones are left out, and a space stands for nothing.
+    ``place`` cuts a long partition as in :func:`beside`.
     """
-    over = Window.partitionBy(partition).orderBy(*order)
     strip = F.regexp_replace(F.col(text), "^\\s+|\\s+$", "")
-    near = df.withColumn("_own", F.nullif(strip, F.lit(""))).withColumns({"_before": F.lag("_own").over(over), "_after": F.lead("_own").over(over)})
+    near = beside(df.withColumn("_own", F.nullif(strip, F.lit(""))), partition, order, "_own", place)
     room = F.greatest(most - F.coalesce(F.length("_own"), F.lit(0)) - 2, F.lit(0))
     half = F.floor(room / 2).cast("int")
     left = F.when(F.length("_before") <= half, F.col("_before")).otherwise(F.substring(F.col("_before"), F.length("_before") - half + 1, half))

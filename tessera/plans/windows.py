@@ -152,7 +152,8 @@ def sticky_semantic(spark, sf):
        SELECT segment_id, CASE WHEN context = '' THEN ' ' ELSE context END AS context FROM c""",
 )
 def context(spark, sf):
-    return sequence.neighbour_context(_segments(spark, sf), "package_id", ["start_sec", "segment_id"], "text").select("segment_id", "context")
+    hours = F.floor(F.col("start_sec") / 3600)
+    return sequence.neighbour_context(_segments(spark, sf), "package_id", ["start_sec", "segment_id"], "text", place=hours).select("segment_id", "context")
 
 
 @register(

@@ -22,3 +22,15 @@ def test_own_text_stays_whole_and_neighbours_are_trimmed(spark):
     assert got == want
     assert all((t or "").strip() in got["p", n] for n, t in enumerate(texts))
     assert all(len(c) <= 700 or c == texts[n] for (_, n), c in got.items())
+
+
+def test_stretches_cut_nothing(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    df = spark.createDataFrame([(r.choice(["p", "q", None]), r.choice([None, *range(50)]) if i % 9 else i, i, f"t{i}" if i % 7 else None) for i in range(200)], "p string, n int, i int, t string")
+    whole = neighbour_context(df, "p", ["n", "i"], "t")
+    for width in (1, 7, 1000):
+        assert sorted(map(repr, neighbour_context(df, "p", ["n", "i"], "t", place=F.floor(F.col("n") / width)).collect())) == sorted(map(repr, whole.collect()))

@@ -92,7 +92,9 @@ def hybrid_search(spark, sf):
     b = nearest(read_table(spark, sf, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf), 25).withColumnRenamed("vec_id", "doc_id")
     b = b.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
     top = reciprocal_rank_fusion(a, b, "doc_id").orderBy(F.desc("fusion"), F.asc_nulls_last("a_rank"), F.asc_nulls_last("b_rank"), "doc_id").limit(10)
-    return docs.join(F.broadcast(top), "doc_id").select("doc_id", "title", T.excerpt(F.col("text"), TERMS, 200).alias("excerpt"), "a_rank", "b_rank", "mode", "fusion")  # ten rows
+    rows = top.collect()  # ten rows; their ids reach the scan as a filter
+    best, wanted = spark.createDataFrame(rows, top.schema), docs.where(F.col("doc_id").isin([r["doc_id"] for r in rows]))
+    return wanted.join(F.broadcast(best), "doc_id").select("doc_id", "title", T.excerpt(F.col("text"), TERMS, 200).alias("excerpt"), "a_rank", "b_rank", "mode", "fusion")
 
 
 _SPOTS = "[" + ", ".join(f"strpos(lower(text), '{t}')" for t in TERMS) + "]"

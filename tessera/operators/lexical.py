@@ -81,6 +81,7 @@ class Postings:
         self.spark, self.path, self.key = spark, path, key
         said = json.loads(spark.read.text(f"{path}/corpus").first()[0])
         self.documents, self.words, self.buckets, self.kind = (said[k] for k in ("documents", "words", "buckets", "kind"))
+        self._bucket: dict[str, int] = {}
 
     @classmethod
     def build(cls, docs: DataFrame, key: str, text: str, path: str, buckets: int = 64, parts: int = 4, stop: Sequence[str] = ()) -> Postings:
@@ -119,14 +120,20 @@ class Postings:
     def of(self, terms: Sequence[str]) -> DataFrame:
         """The postings of some terms; others aren't read."""
         rows = self.spark.read.schema(f"`{self.key}` {self.kind}, term string, tf int, length int, bucket int").parquet(f"{self.path}/postings")
-        wanted = F.array(*(F.lit(t) for t in terms))
-        buckets = self.spark.range(1).select(F.transform(wanted, lambda t: F.pmod(F.hash(t), F.lit(self.buckets)))).first()[0] if terms else []
-        return rows.where(F.col("bucket").isin(*set(buckets)) & F.col("term").isin(*terms))
+        new = [t for t in terms if t not in self._bucket]
+        if new:  # one row without a table is worked out by the optimizer, not by a job
+            hashed = self.spark.sql("SELECT 1").select(*(F.pmod(F.hash(F.lit(t)), F.lit(self.buckets)) for t in new)).first()
+            self._bucket |= dict(zip(new, hashed, strict=True))
+        return rows.where(F.col("bucket").isin(*{self._bucket[t] for t in terms}) & F.col("term").isin(*terms))
 
-    def bm25(self, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    def frequencies(self, terms: Sequence[str]) -> dict[str, int]:
+        """The number of documents of each term that has any."""
+        return {r["term"]: r["n"] for r in self.of(terms).groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row per term searched
+
+    def bm25(self, terms: Sequence[str], k1: float = 1.2, b: float = 0.75, df: dict[str, int] | None = None) -> DataFrame:
         """As :func:`bm25` over the texts."""
         found = self.of(terms)
-        df = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row per term searched
+        df = self.frequencies(terms) if df is None else df
         mean = self.words / max(1, self.documents)
         weight = {t: math.log(1 + (self.documents - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) for t in terms}
         part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean or 1.0)))
@@ -140,6 +147,7 @@ class Postings:
         """The strictest of three tiers with any hit: all terms, any term, the first term's letters anywhere in a text."""
         if not terms:
             return containing(docs.limit(0), self.key, text, "", k)
-        if self.of(terms).isEmpty():
+        df = self.frequencies(terms)
+        if not df:
             return containing(docs, self.key, text, terms[0], k)
-        return tiers(self.bm25(terms), self.key, len(terms), k)
+        return tiers(self.bm25(terms, df=df), self.key, len(terms), k)

@@ -16,17 +16,33 @@ def islands(df: DataFrame, entity: str, order: Sequence[str], value: str) -> Dat
     return df.withColumn("run", F.sum(changed.cast("bigint")).over(over.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def smooth_islands(df: DataFrame, entity: str, order: Sequence[str], value: str, start: str, end: str, min_rows: int, min_span: float) -> DataFrame:
+def smooth_islands(
+    df: DataFrame, entity: str, order: Sequence[str], value: str, start: str, end: str, min_rows: int, min_span: float, place: Column | None = None
+) -> DataFrame:
     """Adds ``smoothed``: a run with fewer than ``min_rows`` rows or a shorter span than ``min_span`` takes the value of the run before it, else of the one after.
 
     The neighbours' original values count, so short runs in a row do not chain.
+    With ``place``, as in :func:`beside`, runs are found stretch by stretch and
+    named by their first row; what is then ordered within an entity is its runs.
     """
-    rows = islands(df, entity, order, value)
+    if place is None:
+        rows = islands(df, entity, order, value)
+    else:
+        near = beside(df.withColumn("_v", F.struct(F.col(value).alias("v"))), entity, order, "_v", place).drop("_after", "_v")
+        begins = F.when(F.col("_before").isNull() | ~F.col("_before.v").eqNullSafe(F.col(value)), F.struct(*order))
+        near = near.withColumns({"_begin": begins, "_place": place}).drop("_before")
+        last = near.groupBy(F.col(entity).alias("_e"), F.col("_place").alias("_q")).agg(F.max("_begin").alias("_l"))
+        before = Window.partitionBy("_e").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+        carried = last.select("_e", "_q", F.max("_l").over(before).alias("_carried"))
+        near = near.join(carried, F.col(entity).eqNullSafe(F.col("_e")) & F.col("_place").eqNullSafe(F.col("_q")))
+        upto = Window.partitionBy(entity, "_place").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        rows = near.withColumn("run", F.coalesce(F.last("_begin", ignorenulls=True).over(upto), "_carried")).drop("_begin", "_place", "_e", "_q", "_carried")
     runs = rows.groupBy(entity, "run").agg(F.min(value).alias("_v"), F.count("*").alias("_n"), (F.max(end) - F.min(start)).alias("_span"))
     over = Window.partitionBy(entity).orderBy("run")
     short = (F.col("_n") < min_rows) | (F.col("_span") < min_span)
     painted = F.when(short & F.lag("run").over(over).isNotNull(), F.lag("_v").over(over)).when(short & F.lead("run").over(over).isNotNull(), F.lead("_v").over(over)).otherwise(F.col("_v"))
-    return rows.join(runs.withColumn("smoothed", painted).select(entity, "run", "smoothed"), [entity, "run"])
+    named = runs.withColumn("smoothed", painted).select(F.col(entity).alias("_e"), F.col("run").alias("_r"), "smoothed")
+    return rows.join(named, F.col(entity).eqNullSafe(F.col("_e")) & (F.col("run") == F.col("_r"))).drop("_e", "_r")
 
 
 def sessions(df: DataFrame, entity: str, at: str, gap_seconds: float) -> DataFrame:

@@ -66,6 +66,14 @@ def smoothed(spark, sf):
     return sequence.smooth_islands(rows, "package_id", ["start_sec", "segment_id"], "primary_tag", "start_sec", "end_sec", 3, 10).select("segment_id", "smoothed")
 
 
+@register("WIN-06-hours", ORACLES["WIN-06"])
+def smoothed_by_hours(spark, sf):
+    """The same with packages cut into hours, for packages too long for one task."""
+    rows = _segments(spark, sf).withColumn("end_sec", F.coalesce("end_sec", "start_sec"))
+    hours = F.floor(F.col("start_sec") / 3600)
+    return sequence.smooth_islands(rows, "package_id", ["start_sec", "segment_id"], "primary_tag", "start_sec", "end_sec", 3, 10, place=hours).select("segment_id", "smoothed")
+
+
 _BUDGETED = f"""rows AS (SELECT package_id, start_sec AS s, coalesce(end_sec, start_sec) AS e, coalesce(length(text), 0) AS c, row_number() OVER w AS n,
          coalesce(start_sec - lag(coalesce(end_sec, start_sec)) OVER w > 20, true) AS cut FROM {_SEG} WHERE start_sec IS NOT NULL WINDOW w AS (PARTITION BY package_id ORDER BY start_sec, coalesce(end_sec, start_sec))),
        steps AS (SELECT package_id, n, 1 AS w, s AS ws, c AS wc FROM rows WHERE n = 1

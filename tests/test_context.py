@@ -34,3 +34,19 @@ def test_stretches_cut_nothing(spark):
     whole = neighbour_context(df, "p", ["n", "i"], "t")
     for width in (1, 7, 1000):
         assert sorted(map(repr, neighbour_context(df, "p", ["n", "i"], "t", place=F.floor(F.col("n") / width)).collect())) == sorted(map(repr, whole.collect()))
+
+
+def test_smoothing_over_stretches_is_smoothing_over_the_whole(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tessera.operators.sequence import smooth_islands
+
+    r = random.Random(6)
+    df = spark.createDataFrame([(r.choice(["p", "q", None]), float(i), i, float(i + 1), r.choice(["a", "a", "a", "b", None])) for i in range(250)], "e string, s double, i int, t double, v string")
+    whole = sorted(map(repr, smooth_islands(df, "e", ["s", "i"], "v", "s", "t", 2, 2.0).select("i", "smoothed").collect()))
+    assert len(whole) == 250  # rows without an entity form one sequence
+    for width in (1, 9, 1000):
+        got = smooth_islands(df, "e", ["s", "i"], "v", "s", "t", 2, 2.0, place=F.floor(F.col("s") / width))
+        assert sorted(map(repr, got.select("i", "smoothed").collect())) == whole
